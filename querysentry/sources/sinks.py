@@ -22,8 +22,10 @@ def write_results(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "o
 def write_curves(points: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
     """Curve points, one folder per model. Points stay spread over as many files
     as there are partitions, because a curve may have as many points as rows."""
-    points.write.mode(mode).partitionBy("model").format(fmt).option("header", True).option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False).save(path)
+    (
+        points.write.mode(mode).partitionBy("model").format(fmt)
+        .option("header", True).save(path)
+    )
 
 
 def content_fingerprint(df: DataFrame) -> DataFrame:
