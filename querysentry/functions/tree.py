@@ -111,10 +111,14 @@ def kind_counts(kinds: Column) -> Column:
         F.coalesce(kinds, F.array().cast("array<int>")),
         lambda k: k.between(registry.MIN_RULE_KIND, registry.MAX_RULE_KIND),
     )
-    distinct = F.array_sort(F.array_distinct(ruled))
-    return F.map_from_arrays(
-        distinct, F.transform(distinct, lambda k: F.size(F.filter(ruled, lambda r: r == k)))
-    )
+    # Counts are the distances between the first places of the distinct values in the
+    # sorted list. (One lambda deep: Spark cannot hand nested ones to a Python model.)
+    ordered = F.array_sort(ruled)
+    distinct = F.array_distinct(ordered)
+    first = F.transform(distinct, lambda k: F.array_position(ordered, k))
+    ends = F.concat(F.slice(first, 2, F.size(first)), F.array((F.size(ordered) + 1).cast("long")))
+    counts = F.zip_with(first, F.slice(ends, 1, F.size(first)), lambda a, b: (b - a).cast("int"))
+    return F.map_from_arrays(distinct, counts)
 
 
 def edge_segments(tree: Column) -> Column:
