@@ -24,20 +24,17 @@ def tokens(text: Column) -> Column:
 
 
 @functools.cache
-def _digit_class() -> str:
-    """Decimal digits plus the digit-like signs (superscripts, circled digits, ...).
-
-    Signs are listed as ranges of code points, behind a cheap test for ASCII.
-    """
-    signs = [c for c in range(0x80, 0x20000) if unicodedata.category(chr(c)) != "Nd" and chr(c).isdigit()]
+def _other_digits() -> str:
+    """Character class of the digits beyond ASCII: decimal digits of other scripts and
+    digit-like signs (superscripts, circled digits, ...), as ranges of code points."""
     ranges: list[list[int]] = []
-    for code in signs:
-        if ranges and ranges[-1][1] == code - 1:
-            ranges[-1][1] = code
-        else:
-            ranges.append([code, code])
-    extra = "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges)
-    return rf"[0-9[[^\x00-\x7F]&&[\p{{Nd}}{extra}]]]"
+    for code in range(0x80, 0x20000):
+        if chr(code).isdigit():
+            if ranges and ranges[-1][1] == code - 1:
+                ranges[-1][1] = code
+            else:
+                ranges.append([code, code])
+    return "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges) + "]"
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -116,18 +113,24 @@ def found_words(text: Column) -> Column:
     return F.array_intersect(tokens(text), F.array(*[F.lit(w) for w in lexical_words()]))
 
 
-# Most of a text is lower-case words and blanks. They are folded first, each run to
-# one letter, which keeps everything else and its neighbourhood. All character work
+# Most of a text is lower-case words (accents included) and blanks. They are folded
+# first, each run to one letter, which keeps everything else and its neighbourhood. All character work
 # is done on that short rest. The classes are then counted by deleting one after the
 # other, so a character belongs to the first class that has it.
-def character_steps() -> list[tuple[str, str, str]]:
-    """(name of the resulting text, pattern, replacement), in order."""
+def character_steps(text: Column) -> list[tuple[str, Column]]:
+    """Columns to add in order, each a shorter text made from the one before."""
+    # A single range decides whether the long list of other digits is tried at all.
+    maybe = F.col("_no_ascii_digit").rlike("[\u00B2\u00B3\u00B9\u0660-\U0001FFFF]")
     return [
-        ("_rest", "[a-z ]+", "a"),
-        ("_no_space", f"[{SPACE}]+", ""),
-        ("_no_digit", _digit_class() + "+", ""),
-        ("_no_upper", r"[A-Z\p{IsUppercase}]+", ""),
-        ("_special", r"[a-z\p{L}\p{N}/*+\-\[\](){}]+", ""),
+        ("_rest", F.regexp_replace(text, "[a-z \u00DF-\u00F6\u00F8-\u00FF]+", "a")),
+        ("_no_space", F.regexp_replace("_rest", f"[{SPACE}]+", "")),
+        ("_no_ascii_digit", F.regexp_replace("_no_space", "[0-9]+", "")),
+        (
+            "_no_digit",
+            F.when(maybe, F.regexp_replace("_no_ascii_digit", _other_digits() + "+", "")).otherwise(F.col("_no_ascii_digit")),
+        ),
+        ("_no_upper", F.regexp_replace("_no_digit", r"[A-Z\p{IsUppercase}]+", "")),
+        ("_special", F.regexp_replace("_no_upper", r"[a-z\p{L}\p{N}/*+\-\[\](){}]+", "")),
     ]
 
 

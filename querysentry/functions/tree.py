@@ -61,14 +61,21 @@ def field(fields: Column, index: int) -> Column:
     return F.transform(fields, lambda f: f[index])
 
 
-def _occurrences(values: Column, value: str) -> Column:
-    return F.size(F.filter(values, lambda v: v == value))
+def tag_text(fields: Column, index: int) -> Column:
+    """One field of every node as ``:tag|:tag|``. Tags hold neither sign, so each
+    tag is found by a plain text search, which keeps the generated code small."""
+    joined = F.concat(F.lit(":"), F.array_join(field(fields, index), "|:"), F.lit("|"))
+    return F.when(F.size(fields) == 0, F.lit("")).otherwise(joined)
 
 
-def tag_counts(fields: Column, vocabulary: str) -> dict[str, Column]:
-    """How often each tag of a vocabulary occurs. Blank tags only count as the
-    two blank markers of the expert vocabulary."""
-    tag1, tag2 = field(fields, 3), field(fields, 4)
+def _occurrences(text: Column, tag: str) -> Column:
+    lost = F.length(text) - F.length(F.replace(text, F.lit(f":{tag}|"), F.lit("")))
+    return (lost / (len(tag) + 2)).cast("int")
+
+
+def tag_counts(tag1: Column, tag2: Column, vocabulary: str) -> dict[str, Column]:
+    """How often each tag of a vocabulary occurs in the two tag texts of the nodes.
+    Blank tags only count as the two blank markers of the expert vocabulary."""
     counts = {}
     for family, tag in registry.vocabulary_tags(vocabulary):
         values = tag2 if family == "object" else tag1

@@ -12,13 +12,10 @@ from querysentry.functions import text as X
 def lexical_features(df: DataFrame, text: str = "full_query") -> DataFrame:
     """Append the 32 lexical features, in training order. Narrow, no UDF."""
     prepared = df.withColumns({"_lower": F.lower(F.col(text)), "_found": X.found_words(F.col(text))})
-    previous = text
-    for name, pattern, replacement in X.character_steps():
-        prepared = prepared.withColumn(name, F.regexp_replace(F.col(previous), pattern, replacement))
-        previous = name
-    for name, column in X.tautology_steps(F.col(text), F.col("_rest")):
+    steps = X.character_steps(F.col(text))
+    for name, column in [*steps, *X.tautology_steps(F.col(text), F.col("_rest"))]:
         prepared = prepared.withColumn(name, column)
-    texts = {name: F.col(name) for name, _, _ in X.character_steps()}
+    texts = {name: F.col(name) for name, _ in steps}
     columns = X.lexical_columns(F.col(text), F.col("_lower"), F.col("_found"), texts)
     return prepared.select(*df.columns, *[columns[name].alias(name) for name in registry.LEXICAL])
 

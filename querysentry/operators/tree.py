@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querysentry import registry
@@ -26,13 +26,19 @@ def malformed_nodes(traces: DataFrame, keys: list[str]) -> DataFrame:
 
 def with_node_fields(traces: DataFrame) -> DataFrame:
     """Split every tree once; the feature expressions read the result."""
-    return traces.withColumn("_fields", T.node_fields(F.col(TREE)))
+    split = traces.withColumn("_fields", T.node_fields(F.col(TREE)))
+    return split.withColumns({"_tag1": T.tag_text(F.col("_fields"), 3), "_tag2": T.tag_text(F.col("_fields"), 4)})
+
+
+def _tag_columns(vocabulary: str) -> list[Column]:
+    """Tag counts of a table made by ``with_node_fields``."""
+    counts = T.tag_counts(F.col("_tag1"), F.col("_tag2"), vocabulary)
+    return [column.alias(tag) for tag, column in counts.items()]
 
 
 def tag_counts(traces: DataFrame, vocabulary: str, keys: list[str]) -> DataFrame:
     """Tag counts per row without a shuffle; absent tags are zero."""
-    counts = T.tag_counts(F.col("_fields"), vocabulary)
-    return with_node_fields(traces).select(*keys, *[c.alias(tag) for tag, c in counts.items()])
+    return with_node_fields(traces).select(*keys, *_tag_columns(vocabulary))
 
 
 def unknown_tags(traces: DataFrame, vocabulary: str, keys: list[str]) -> DataFrame:
@@ -103,7 +109,7 @@ def trace_features(traces: DataFrame, mode: str, words=None, unescape: bool = Fa
     parsed = with_node_fields(traces).withColumn("_counts", T.literal_keyword_counts(fields, words, unescape))
     featured = parsed.select(
         *traces.columns,
-        *[c.alias(tag) for tag, c in T.tag_counts(fields, vocabulary).items()],
+        *_tag_columns(vocabulary),
         T.symbol_kinds(fields).alias("symbkinds"),
         *[c.alias(n) for n, c in T.keyword_stats(F.col("_counts")).items()],
     )
@@ -123,19 +129,17 @@ def statement_features(log: DataFrame, mode: str, key: str = "stmt_id", words=No
     vocabulary = registry.vocabulary_of(mode)
     tags = [tag for _, tag in registry.vocabulary_tags(vocabulary)]
     fields = F.col("_fields")
+    needed = log.select(
+        key, *registry.SYNTACTIC[:4], TREE, F.coalesce(T.has_two_parts(F.col(TREE)), F.lit(False)).alias("_whole")
+    )
     per_row = (
-        log.select(
-            key,
-            *registry.SYNTACTIC[:4],
-            F.coalesce(T.has_two_parts(F.col(TREE)), F.lit(False)).alias("_whole"),
-            T.node_fields(F.col(TREE)).alias("_fields"),
-        )
+        with_node_fields(needed)
         .withColumn("_counts", T.literal_keyword_counts(fields, words))
         .select(
             key,
             *registry.SYNTACTIC[:4],
             "_whole",
-            *[c.alias(tag) for tag, c in T.tag_counts(fields, vocabulary).items()],
+            *_tag_columns(vocabulary),
             F.aggregate("_counts", F.lit(0), lambda acc, c: acc + c).alias("_kw_sum"),
             F.size("_counts").alias("_kw_n"),
             F.array_max("_counts").alias("_kw_max"),
@@ -205,25 +209,69 @@ def children(traces: DataFrame, keys: list[str]) -> DataFrame:
     return pairs.select(*keys, "parent", F.transform("_pairs", lambda p: p.child).alias("children"))
 
 
+IN_ROW_TREE = 65_536
+
+
 def named_edges(traces: DataFrame, kinds: DataFrame, keys: list[str]) -> DataFrame:
     """Edges with the symbol names of both ends.
 
-    Where a tree repeats an order number the last node counts. The node look-up
-    is an equi-join on tree and order number, so trees of any size spread out;
-    the symbol table is broadcast once its size has been checked.
+    Where a tree repeats an order number the last node counts. Both ends are looked
+    up inside the row for trees of up to ``IN_ROW_TREE`` characters, which shuffles
+    nothing. Larger trees, where a look-up per edge would grow with the square of
+    the tree, are exploded and joined, so one of any size spreads over many tasks.
+    The symbol table is broadcast once its size has been checked.
     """
+    size = F.length(TREE)
+    small = _edge_kinds_in_row(traces.filter(size <= IN_ROW_TREE), keys)
+    large = _edge_kinds_joined(traces.filter(size > IN_ROW_TREE), keys)
+    names = broadcast_if_small(kinds.select("kind", "name"))
+    edges = small.unionByName(large)
+    for end in ("parent", "child"):
+        named = names.select(F.col("kind").alias(f"{end}_kind"), F.col("name").alias(f"{end}_name"))
+        edges = edges.join(named, f"{end}_kind", "left")
+    return edges.select(*keys, "pos", "parent", "child", "parent_name", "child_name")
+
+
+def _edge_kinds_in_row(traces: DataFrame, keys: list[str]) -> DataFrame:
+    backwards = F.reverse("_fields")  # the first match is the last node
+    parsed = with_node_fields(traces).withColumns(
+        {
+            "_orders": F.transform(backwards, lambda f: f[0].try_cast("long")),
+            "_kinds": F.transform(backwards, lambda f: f[1].try_cast("int")),
+            "_edges": T.edges(F.col(TREE)),
+        }
+    )
+
+    def place(order: Column) -> Column:
+        return F.array_position("_orders", order).cast("int")
+
+    found = F.transform(
+        "_edges",
+        lambda e: F.struct(
+            e.pos.alias("pos"), e.parent.alias("parent"), e.child.alias("child"),
+            place(e.parent).alias("p"), place(e.child).alias("c"),
+        ),
+    )
+    ends = F.transform(
+        F.filter(found, lambda e: (e.p > 0) & (e.c > 0)),
+        lambda e: F.struct(
+            e.pos.alias("pos"), e.parent.alias("parent"), e.child.alias("child"),
+            F.get("_kinds", e.p - 1).alias("parent_kind"), F.get("_kinds", e.c - 1).alias("child_kind"),
+        ),
+    )
+    return parsed.select(*keys, F.inline(ends))
+
+
+def _edge_kinds_joined(traces: DataFrame, keys: list[str]) -> DataFrame:
     nodes = (
         explode_nodes(traces, keys)
         .groupBy(*keys, F.col("order").try_cast("long").alias("order"))
         .agg(F.max_by(F.col("kind").try_cast("int"), "pos").alias("kind"))
     )
-    names = broadcast_if_small(kinds.select("kind", "name"))
-    named = nodes.join(names, "kind", "left").select(*keys, "order", "name")
-    parents = named.withColumnsRenamed({"order": "parent", "name": "parent_name"})
-    ends = named.withColumnsRenamed({"order": "child", "name": "child_name"})
-    return explode_edges(traces, keys).join(parents, [*keys, "parent"]).join(ends, [*keys, "child"]).select(
-        *keys, "pos", "parent", "child", "parent_name", "child_name"
-    )
+    edges = explode_edges(traces, keys)
+    for end in ("parent", "child"):
+        edges = edges.join(nodes.withColumnsRenamed({"order": end, "kind": f"{end}_kind"}), [*keys, end])
+    return edges.select(*keys, "pos", "parent", "child", "parent_kind", "child_kind")
 
 
 def untagged_rules(rules: DataFrame, tags: DataFrame) -> DataFrame:

@@ -96,13 +96,13 @@ def broadcast_if_small(side: DataFrame, max_rows: int = 100_000) -> DataFrame:
     return side
 
 
-def spread_small_input(df: DataFrame, key: str, bytes_per_task: int = 16 << 20) -> DataFrame:
+def spread_small_input(df: DataFrame, *keys: str, bytes_per_task: int = 16 << 20) -> DataFrame:
     """Use all cores for heavy per-row work on an input with few splits.
 
     A file with one row group is read by one task. If the optimizer's size
     estimate of the input is below ``bytes_per_task`` per core, rows are spread
-    by key; larger inputs have splits enough and are left as they are, unshuffled.
+    by keys; larger inputs have splits enough and are left as they are, unshuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, key) if size < cores * bytes_per_task else df
+    return df.repartition(cores, *keys) if size < cores * bytes_per_task else df

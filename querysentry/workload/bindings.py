@@ -183,7 +183,7 @@ def _tree_column(vocabulary: str):
     )
 
 
-def _invocation_columns(vocabulary: str, *extra: str) -> list:
+def invocation_columns(vocabulary: str, *extra: str) -> list:
     return [
         F.col("l_orderkey").alias("stmt_id"),
         *extra,
@@ -196,9 +196,16 @@ def _invocation_columns(vocabulary: str, *extra: str) -> list:
     ]
 
 
+ITEM = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(*ITEM, "l_quantity", "l_returnflag", "l_extendedprice")
+
+
 def invocations(spark: SparkSession, sf_dir: str, vocabulary: str = "expert") -> DataFrame:
     """Log rows without a sequence number: a plain projection of the table."""
-    return table(spark, sf_dir, "lineitem").select(*_invocation_columns(vocabulary))
+    return spread_small_input(items(spark, sf_dir), *ITEM).select(*invocation_columns(vocabulary))
 
 
 def trace_log(spark: SparkSession, sf_dir: str, vocabulary: str = "expert") -> DataFrame:
@@ -206,7 +213,7 @@ def trace_log(spark: SparkSession, sf_dir: str, vocabulary: str = "expert") -> D
     order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     return (
         table(spark, sf_dir, "lineitem").withColumn("seq", F.row_number().over(order))
-        .select(*_invocation_columns(vocabulary, "seq"))
+        .select(*invocation_columns(vocabulary, "seq"))
     )
 
 

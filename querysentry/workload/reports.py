@@ -12,15 +12,19 @@ from querysentry.operators import scaling as SC
 from querysentry.operators import selection as S
 from querysentry.operators.lexical import lexical_subset
 from querysentry.operators.scoring import score_table
+from querysentry.operators.tree import semantic_projection
 from querysentry.session import shared_path
 from querysentry.sources import dimensions as D
 from querysentry.sources import sinks, tables
 from querysentry.streaming import logs
+from querysentry.workload import traces  # noqa: F401  (its SQL is reused)
 from querysentry.workload.bindings import (
+    ITEM,
     SCORES,
     STATEMENTS,
-    invocations_sql,
+    invocation_columns,
     invocations,
+    invocations_sql,
     scores,
     statements,
     table,
@@ -28,7 +32,7 @@ from querysentry.workload.bindings import (
 )
 from querysentry.workload.lexical import features_sql
 from querysentry.workload.models import _OUTPUT, fixed_model
-from querysentry.workload.registry import query
+from querysentry.workload.registry import ORACLES, query
 
 # --- Sources and sinks ---------------------------------------------------------------------
 
@@ -508,11 +512,25 @@ def stream_features(spark, sf_dir):
     schema = table(spark, sf_dir, "documents").schema
     stream = logs.stream_parquet(spark, sf_dir, "documents", schema).select(
         F.col("doc_id").alias("row_id"), F.col("text").alias("full_query")
-    )
+    ).repartition(spark.sparkContext.defaultParallelism, "row_id")
     logs.run_available(logs.stream_features(stream).drop("full_query"), out, checkpoint)
     return spark.read.parquet(out)
 
 
+@query(
+    "stream_trace_features",
+    ORACLES["semantic_projection"],
+)
+def stream_trace_features(spark, sf_dir):
+    """Trace features of arriving log rows: the batch projection on a stream."""
+    out, checkpoint = (shared_path(spark, "stream", part) for part in ("out", "checkpoint"))
+    stream = logs.stream_parquet(spark, sf_dir, "lineitem", table(spark, sf_dir, "lineitem").schema)
+    rows = stream.repartition(spark.sparkContext.defaultParallelism, *ITEM).select(*invocation_columns("expert"))
+    featured = logs.stream_features(rows, "expert", lexical=False)
+    logs.run_available(semantic_projection(featured, "expert", ["stmt_id", "query_id", "n_nonterminal"]), out, checkpoint)
+    return spark.read.parquet(out)
+
+
 @query(
     "stream_alerts",
     f"""WITH o AS ({_OUTPUT}), e AS (SELECT row_id, unnest(x) - unnest(y) AS d FROM o)

@@ -10,13 +10,15 @@ from querysentry.operators import selection as S
 from querysentry.operators import traces as TR
 from querysentry.operators import tree as TREE
 from querysentry.plans import features as P
-from querysentry.session import shared_path
+from querysentry.session import shared_path, spread_small_input
 from querysentry.sources import dimensions as D
 from querysentry.sources import tables
 from querysentry.workload.bindings import (
+    ITEM,
     STATEMENT_KEYS,
     invocations,
     invocations_sql,
+    items,
     statement_keys,
     table,
     trace_log,
@@ -357,10 +359,9 @@ CONCAT('1:', l_partkey, '::::|2:', l_suppkey, '::::|3:', l_partkey // 2, '::::|4
 
 def _edge_trees(spark, sf_dir):
     part, supplier = F.col("l_partkey"), F.col("l_suppkey")
-    return table(spark, sf_dir, "lineitem").select(
+    return spread_small_input(items(spark, sf_dir), *ITEM).select(
         F.col("l_orderkey").alias("stmt_id"),
         F.col("l_linenumber").alias("line"),
-        F.col("l_extendedprice").alias("price"),
         supplier.alias("supplier"),
         part.alias("part"),
         F.concat(
@@ -371,10 +372,10 @@ def _edge_trees(spark, sf_dir):
     )
 
 
-_EDGES = """SELECT stmt_id, line, part, l_suppkey AS supplier, 1 AS parent, 2 AS child, 0 AS pos FROM e
-UNION ALL SELECT stmt_id, line, part, l_suppkey, 1, 3, 1 FROM e
-UNION ALL SELECT stmt_id, line, part, l_suppkey, 2, 4, 2 FROM e
-UNION ALL SELECT stmt_id, line, part, l_suppkey, 1, line % 4 + 1, 3 FROM e"""
+_EDGES = """SELECT stmt_id, line, part, supplier, 1 AS parent, 2 AS child, 0 AS pos FROM e
+UNION ALL SELECT stmt_id, line, part, supplier, 1, 3, 1 FROM e
+UNION ALL SELECT stmt_id, line, part, supplier, 2, 4, 2 FROM e
+UNION ALL SELECT stmt_id, line, part, supplier, 1, line % 4 + 1, 3 FROM e"""
 
 
 @query(
@@ -388,20 +389,23 @@ def explode_edges(spark, sf_dir):
     return TREE.explode_edges(_edge_trees(spark, sf_dir), _EDGE_KEYS).drop("pos")
 
 
+_TREE_KEYS = [*_EDGE_KEYS, "supplier"]
+# Items of one order may repeat; equal trees under one key are one tree.
+_TREES = f"SELECT DISTINCT stmt_id, line, part, l_suppkey AS supplier FROM ({_EDGE_TREE})"
+
+
+def _distinct_trees(spark, sf_dir):
+    return _edge_trees(spark, sf_dir).select(*_TREE_KEYS, "semantic_tree").distinct()
+
+
 @query(
     "tree_children",
-    f"""WITH e AS ({_EDGE_TREE})
-SELECT stmt_id, line, part, l_suppkey AS supplier, CAST(1 AS BIGINT) AS parent, CONCAT('2,3,', line % 4 + 1) AS children, n FROM
- (SELECT *, COUNT(*) OVER (PARTITION BY stmt_id, line, part, l_suppkey) AS n FROM e) WHERE n = 1
-UNION ALL SELECT stmt_id, line, part, l_suppkey, 2, '4', n FROM
- (SELECT *, COUNT(*) OVER (PARTITION BY stmt_id, line, part, l_suppkey) AS n FROM e) WHERE n = 1""",
+    f"""WITH e AS ({_TREES})
+SELECT stmt_id, line, part, supplier, CAST(1 AS BIGINT) AS parent, CONCAT('2,3,', line % 4 + 1) AS children FROM e
+UNION ALL SELECT stmt_id, line, part, supplier, 2, '4' FROM e""",
 )
 def tree_children(spark, sf_dir):
-    """Child lists of trees whose key is theirs alone."""
-    trees = _edge_trees(spark, sf_dir)
-    keys = [*_EDGE_KEYS, "supplier"]
-    alone = trees.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("semantic_tree").alias("semantic_tree")).filter("n = 1")
-    lists = TREE.children(alone, [*keys, "n"])
+    lists = TREE.children(_distinct_trees(spark, sf_dir), _TREE_KEYS)
     return lists.withColumn("children", F.array_join(F.col("children").cast("array<string>"), ","))
 
 
@@ -427,8 +431,7 @@ _NAME = "CONCAT(replace({p}.p_name, ' ', '_'), '_', {p}.p_partkey)"
 
 @query(
     "named_edges",
-    f"""WITH e AS ({_EDGE_TREE}), one AS (SELECT *, COUNT(*) OVER (PARTITION BY stmt_id, line, part, l_suppkey) AS n FROM e),
-u AS (SELECT * FROM one WHERE n = 1), x AS ({_EDGES.replace('FROM e', 'FROM u')}),
+    f"""WITH e AS ({_TREES}), x AS ({_EDGES}),
 k AS (SELECT *, CASE parent WHEN 1 THEN part WHEN 2 THEN supplier END AS pk,
       CASE child WHEN 1 THEN part WHEN 2 THEN supplier WHEN 3 THEN part // 2 ELSE supplier // 2 END AS ck FROM x)
 SELECT stmt_id, line, part, supplier, pos, CAST(parent AS BIGINT) AS parent, CAST(child AS BIGINT) AS child,
@@ -436,11 +439,8 @@ SELECT stmt_id, line, part, supplier, pos, CAST(parent AS BIGINT) AS parent, CAS
 FROM k LEFT JOIN part a ON a.p_partkey = k.pk LEFT JOIN part b ON b.p_partkey = k.ck""",
 )
 def named_edges(spark, sf_dir):
-    keys = [*_EDGE_KEYS, "supplier"]
-    trees = _edge_trees(spark, sf_dir)
-    alone = trees.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("semantic_tree").alias("semantic_tree")).filter("n = 1")
     kinds = D.read_symbol_kinds(spark, _symbol_file(spark, sf_dir))
-    return TREE.named_edges(alone, kinds, keys)
+    return TREE.named_edges(_distinct_trees(spark, sf_dir), kinds, _TREE_KEYS)
 
 
 @query(

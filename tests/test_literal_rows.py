@@ -11,6 +11,7 @@ from querysentry.functions import text as X
 from querysentry.operators import lexical, selection, traces, tree
 from querysentry.operators import metrics as M
 from querysentry.operators.scoring import score_table
+from querysentry.plans import evaluation
 from querysentry.plans.evaluation import anomaly_score
 from querysentry.sources import dimensions, sinks, tables
 
@@ -105,6 +106,17 @@ def test_sign(spark):
     assert [r.score for r in anomaly_score(df).collect()] == [-1, 2, -3]
 
 
+def test_model_and_vocabulary_selection():
+    models, groups = {"svm": 1, "ae": 2, "ae_ruleid": 3}, {"tags": ["svm", "ae"]}
+    assert evaluation.select_models(["tags"], models, groups) == {"svm": 1, "ae": 2}
+    assert evaluation.select_models(["all", "x"], models) == models
+    with pytest.warns(UserWarning, match="novel"):
+        assert evaluation.select_models(["novel", "ae"], models) == {"ae": 2}
+    with pytest.warns(UserWarning):
+        assert evaluation.select_vocabularies(["a", "b", "claude"]) == ["claude"]
+    assert evaluation.select_vocabularies(["all"])[0] == "expert"
+
+
 def test_batches_equal_whole(spark):
     df = spark.range(10).select(F.col("id").alias("row_id"), F.array(F.col("id").cast("double")).alias("features"))
     seen = [
@@ -122,6 +134,19 @@ def test_edges(spark):
     assert lists == {(1, 1): [2, 3], (1, 2): [4], (2, 1): [2, 3]}
 
 
+def test_named_edges_both_ways(spark, monkeypatch):
+    """Repeated order numbers, missing ends and unnamed kinds; in the row and by join."""
+    rows = [(1, "1:10::::|2:11::::|2:12::::|||-||1>2:3 2>1 "), (2, "1:99::::|2:10::::|||-||1>2: ")]
+    df = spark.createDataFrame(rows, "row_id int, semantic_tree string")
+    kinds = spark.createDataFrame([(10, "ten"), (12, "twelve")], "kind int, name string")
+    expected = [(1, 0, 1, 2, "ten", "twelve"), (1, 2, 2, 1, "twelve", "ten"), (2, 0, 1, 2, None, "ten")]
+    assert sorted(map(tuple, tree.named_edges(df, kinds, ["row_id"]).collect())) == expected
+    monkeypatch.setattr(tree, "IN_ROW_TREE", 30)
+    assert sorted(map(tuple, tree.named_edges(df, kinds, ["row_id"]).collect())) == expected
+    monkeypatch.setattr(tree, "IN_ROW_TREE", 0)
+    assert sorted(map(tuple, tree.named_edges(df, kinds, ["row_id"]).collect())) == expected
+
+
 def test_symbol_kinds_last_entry(spark, tmp_path):
     path = tmp_path / "enum.txt"
     path.write_text("enum kind\n{\n  YYSYMBOL_YYEMPTY = -2,\n  YYSYMBOL_opt_x = 1843,   /* opt_x  */\n  YYSYMBOL_last = 1844  /* last */\n};\n")
