@@ -1,5 +1,9 @@
 """Attack detection in logs of SQL statements, as Spark DataFrame operators."""
 
+import sys
+
+from pyspark import cloudpickle
+
 from querysentry.operators.autoencoder import (
     fit_autoencoder,
     fit_lexical_autoencoder,
@@ -21,6 +25,10 @@ from querysentry.sources.sinks import load_model, materialize, save_model, write
 from querysentry.sources.tables import read_labelled_queries, read_null_normalised_csv, read_trace_log
 from querysentry.streaming.logs import stream_alerts, stream_features, stream_merge_invocations, stream_trace_log
 
+# Executors get the package's few Python functions with the task, not by import, so
+# nothing has to be installed on them.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __all__ = [
     "assert_one_to_one", "auprc", "auroc", "basic_metrics", "confusion", "curve_areas", "escape_counts",
     "evaluate_grid", "exceedance", "explode_edges", "explode_nodes", "fill_failed_traces", "fit_autoencoder",

@@ -551,7 +551,7 @@ def stream_alerts(spark, sf_dir):
     f"""WITH l AS (SELECT user_id AS stmt_id, event_id AS seq, ts, CAST(FLOOR(value) AS BIGINT) AS n_terminal, user_id % 5 AS depth,
  CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS err, CONCAT('1:', 832 + event_id % 1013, '::', upper(event_type), '::|') AS nodes FROM events),
 w AS (SELECT *, time_bucket(INTERVAL '1 hour', ts) AS start FROM l)
-SELECT stmt_id, epoch_ms(start) // 1000 AS window_start, arg_min(seq, seq) AS query_id, CAST(SUM(n_terminal) AS BIGINT) AS n_terminal,
+SELECT stmt_id, strftime(start, '%Y-%m-%d %H:%M:%S') AS window_start, arg_min(seq, seq) AS query_id, CAST(SUM(n_terminal) AS BIGINT) AS n_terminal,
 CAST(SUM(depth) AS BIGINT) AS n_nonterminal, MAX(err) AS is_syntax_error,
 CONCAT(string_agg(nodes, '' ORDER BY seq), '||-||', string_agg('1>2: ', '' ORDER BY seq)) AS semantic_tree,
 CAST(SUM(depth) AS BIGINT) AS depth, COUNT(*) AS n_parser_invoc
@@ -576,4 +576,4 @@ def stream_merge_invocations(spark, sf_dir):
     )
     logs.run_available(logs.stream_merge_invocations(stream), out, checkpoint)
     merged = spark.read.parquet(out)
-    return merged.withColumn("window_start", F.unix_seconds(F.col("window.start"))).drop("window")
+    return merged.withColumn("window_start", F.date_format("window.start", "yyyy-MM-dd HH:mm:ss")).drop("window")
