@@ -112,20 +112,25 @@ def symbol_kinds(fields: Column) -> Column:
     return F.transform(fields, lambda f: f[1].try_cast("int"))
 
 
-def kind_counts(kinds: Column) -> Column:
-    """Map from rule number to its count, for the grammar-rule range only."""
+# The counts of sorted kinds are the distances between the first places of the distinct
+# ones. Three columns, so that each is evaluated once per row (and one lambda deep:
+# Spark cannot hand nested ones to a Python model).
+def kind_count_steps(kinds: Column) -> list[tuple[str, Column]]:
+    """Columns to add in order; the last is a map from rule number to its count,
+    for the grammar-rule range only."""
     ruled = F.filter(
         F.coalesce(kinds, F.array().cast("array<int>")),
         lambda k: k.between(registry.MIN_RULE_KIND, registry.MAX_RULE_KIND),
     )
-    # Counts are the distances between the first places of the distinct values in the
-    # sorted list. (One lambda deep: Spark cannot hand nested ones to a Python model.)
-    ordered = F.array_sort(ruled)
-    distinct = F.array_distinct(ordered)
-    first = F.transform(distinct, lambda k: F.array_position(ordered, k))
-    ends = F.concat(F.slice(first, 2, F.size(first)), F.array((F.size(ordered) + 1).cast("long")))
-    counts = F.zip_with(first, F.slice(ends, 1, F.size(first)), lambda a, b: (b - a).cast("int"))
-    return F.map_from_arrays(distinct, counts)
+    distinct = F.array_distinct("_ordered")
+    n = F.size("_first")
+    ends = F.concat(F.slice("_first", 2, n), F.array((F.size("_ordered") + 1).cast("long")))
+    counts = F.zip_with("_first", F.slice(ends, 1, n), lambda a, b: (b - a).cast("int"))
+    return [
+        ("_ordered", F.array_sort(ruled)),
+        ("_first", F.transform(distinct, lambda k: F.array_position("_ordered", k))),
+        ("kind_counts", F.map_from_arrays(distinct, counts)),
+    ]
 
 
 def edge_segments(tree: Column) -> Column:

@@ -15,13 +15,16 @@ TREE = "semantic_tree"
 
 def explode_nodes(traces: DataFrame, keys: list[str]) -> DataFrame:
     """One row per well-formed node, with its position in the tree."""
-    exploded = traces.select(*keys, F.posexplode(T.nodes(F.col(TREE))).alias("pos", "node"))
-    return exploded.select(*keys, "pos", "node.*")
+    # The outer form with a filter: the inner one makes Spark parse every tree twice,
+    # once for an inferred filter on non-empty lists.
+    exploded = traces.select(*keys, F.posexplode_outer(T.nodes(F.col(TREE))).alias("pos", "node"))
+    return exploded.filter(F.col("pos").isNotNull()).select(*keys, "pos", "node.*")
 
 
 def malformed_nodes(traces: DataFrame, keys: list[str]) -> DataFrame:
     """Quarantine table: nodes without exactly six fields."""
-    return traces.select(*keys, F.explode(T.malformed(F.col(TREE))).alias("node"))
+    exploded = traces.select(*keys, F.explode_outer(T.malformed(F.col(TREE))).alias("node"))
+    return exploded.filter(F.col("node").isNotNull())
 
 
 def with_node_fields(traces: DataFrame) -> DataFrame:
@@ -88,7 +91,10 @@ def vectorize_symbkinds(df: DataFrame) -> DataFrame:
 
     The pairs of a row are found within the row; nothing is shuffled.
     """
-    return df.withColumn("kind_counts", T.kind_counts(F.col("symbkinds")))
+    counted = df
+    for name, column in T.kind_count_steps(F.col("symbkinds")):
+        counted = counted.withColumn(name, column)
+    return counted.drop("_ordered", "_first")
 
 
 def widen_kinds(df: DataFrame, kinds: range | list[int] | None = None) -> DataFrame:
@@ -186,7 +192,7 @@ def statement_kind_counts(log: DataFrame, key: str = "stmt_id") -> DataFrame:
     Grouped by statement and kind with map-side combining; a large statement is
     spread over up to 1,013 groups.
     """
-    kinds = log.select(key, F.explode(T.symbol_kinds(T.node_fields(F.col(TREE)))).alias("kind"))
+    kinds = log.select(key, F.explode_outer(T.symbol_kinds(T.node_fields(F.col(TREE)))).alias("kind"))
     return (
         kinds.filter(F.col("kind").between(registry.MIN_RULE_KIND, registry.MAX_RULE_KIND))
         .groupBy(key, "kind").agg(F.count(F.lit(1)).alias("n"))
@@ -195,7 +201,8 @@ def statement_kind_counts(log: DataFrame, key: str = "stmt_id") -> DataFrame:
 
 def explode_edges(traces: DataFrame, keys: list[str]) -> DataFrame:
     """One row per edge: parent, child and position."""
-    return traces.select(*keys, F.explode(T.edges(F.col(TREE))).alias("edge")).select(*keys, "edge.*")
+    exploded = traces.select(*keys, F.explode_outer(T.edges(F.col(TREE))).alias("edge"))
+    return exploded.filter(F.col("edge").isNotNull()).select(*keys, "edge.*")
 
 
 def children(traces: DataFrame, keys: list[str]) -> DataFrame:
@@ -259,7 +266,7 @@ def _edge_kinds_in_row(traces: DataFrame, keys: list[str]) -> DataFrame:
             F.get("_kinds", e.p - 1).alias("parent_kind"), F.get("_kinds", e.c - 1).alias("child_kind"),
         ),
     )
-    return parsed.select(*keys, F.inline(ends))
+    return parsed.select(*keys, F.inline_outer(ends)).filter(F.col("pos").isNotNull())
 
 
 def _edge_kinds_joined(traces: DataFrame, keys: list[str]) -> DataFrame:

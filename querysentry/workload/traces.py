@@ -257,7 +257,8 @@ SELECT stmt_id, kind, COUNT(*) AS n FROM n WHERE kind BETWEEN 832 AND 1844 GROUP
 def vectorize_symbkinds(spark, sf_dir):
     """The sparse row-wise counts, shown as rows."""
     kinds = TREE.symbkinds(TR.merge_traces(trace_log(spark, sf_dir)), ["stmt_id"])
-    return TREE.vectorize_symbkinds(kinds).select("stmt_id", F.explode("kind_counts").alias("kind", "n"))
+    pairs = TREE.vectorize_symbkinds(kinds).select("stmt_id", F.explode_outer("kind_counts").alias("kind", "n"))
+    return pairs.filter(F.col("kind").isNotNull())
 
 
 @query("statement_kind_counts", _KINDS)
