@@ -8,7 +8,7 @@ Parquet, so writing is atomic, works on any store Spark writes to, and a lost ta
 nothing behind.
 
 Defined cases: a null text is empty and holds the end id only; equal keys are ordered by
-their packed ids; null keys come first; an empty table gives no files' rows; a document of
+a hash of their texts, then by the texts; null keys come first; an empty table gives no files' rows; a document of
 any length is one segment; other columns are not read.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from querysentry.llm.frames import doc_columns, map_steps
+from querysentry.llm.frames import doc_columns, steps
 from querysentry.llm.pretokens import word_encoder
 from querysentry.session import shared_path
 
@@ -81,62 +81,48 @@ def read_ids(segment: dict, first: int, n: int) -> np.ndarray:
     return np.concatenate(made) if made else np.zeros(0, np.uint32)
 
 
-def encoded(docs: DataFrame, model_file: str, end_id: int, cut: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, n, ids): ids with the end id, packed without blocks."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encoder = word_encoder(model_file, cut)
-        width = width_of(encoder.size)
-        made = [np.append(ids, end_id) for ids in encoder.encode(batch.column("text").to_pylist())]
-        return pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"), pa.array([len(ids) for ids in made], pa.int64()),
-                pa.array([width] * len(made), pa.int32()), pa.array([pack(ids, width) for ids in made], pa.binary()),
-            ],
-            names=["doc_id", "n", "width", "ids"],
-        )
-
-    return map_steps(docs, doc_columns(text, key), run, "doc_id bigint, n bigint, width int, ids binary")
-
-
 def write_id_files(
     docs: DataFrame, path: str, model_file: str, end_id: int, cut: str = "blank", text: str = "text", key: str = "doc_id",
     block_ids: int = BLOCK_IDS, segment_ids: int = SEGMENT_IDS,
 ) -> None:
-    """Write the ids of all documents in ascending key order; texts are encoded where they are read."""
+    """Write the ids of all documents in ascending key order.
+
+    Texts are dealt out by key ranges first and encoded afterwards: finding the ranges
+    runs what lies below them once more, which should be a plain read.
+    """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = encoded(docs, model_file, end_id, cut, text, key).withColumn("tie", F.xxhash64("ids"))
-    ordered = rows.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "ids")
+    rows = docs.select(*doc_columns(text, key)).withColumn("tie", F.xxhash64("text"))
+    ordered = rows.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
+    names = [c.split()[0] for c in SEGMENTS.split(", ")]
+    kinds = (
+        pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()),
+        pa.list_(pa.int64()),
+    )
 
     def segments(batches):
         from pyspark import TaskContext
 
-        part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+        encoder, part = word_encoder(model_file, cut), TaskContext.get().partitionId()
+        width, number, held, size = width_of(encoder.size), 0, [], 0
 
         def closed():
-            width = held[0][2]
-            ids = np.concatenate([unpack(raw, w, n) for _, n, w, raw in held])
+            ids = np.concatenate([ids for _, ids in held])
             payload, offsets = pack_blocks(ids, width, block_ids)
-            columns = ([part], [number], [width], [block_ids], [len(ids)], [offsets], [payload], [[d for d, _, _, _ in held]], [[n for _, n, _, _ in held]])
-            kinds = (
-                pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary(),
-                pa.list_(pa.int64()), pa.list_(pa.int64()),
-            )
-            names = [c.split()[0] for c in SEGMENTS.split(", ")]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+            row = (part, number, width, block_ids, len(ids), offsets, payload, [d for d, _ in held], [len(x) for _, x in held])
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=names)
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "width", "ids"))):
-                if held and size + row[1] > segment_ids:
-                    yield closed()
-                    number, held, size = number + 1, [], 0
-                held.append(row)
-                size += row[1]
+            for piece in steps(batch):
+                for doc_id, ids in zip(piece.column("doc_id").to_pylist(), encoder.encode(piece.column("text").to_pylist())):
+                    if held and size + len(ids) + 1 > segment_ids:
+                        yield closed()
+                        number, held, size = number + 1, [], 0
+                    held.append((doc_id, np.append(ids, end_id)))
+                    size += len(ids) + 1
         if held:
             yield closed()
 
-    # Packed ids hardly compress further; the default codec still takes the padding bits out.
-    ordered.select("doc_id", "n", "width", "ids").mapInArrow(segments, SEGMENTS).write.parquet(path)
+    ordered.select("doc_id", "text").mapInArrow(segments, SEGMENTS).write.parquet(path)
 
 
 def read_id_files(spark, path: str) -> DataFrame:

@@ -85,7 +85,10 @@ class WordEncoder:
             self.marks[mark] = self.whole(mark)
         if self.lower:
             letters = letters.lower()
-        shown = "".join(map(self.alphabet.__getitem__, letters.encode()))
+        if letters.isascii():
+            shown = letters.replace(" ", self.alphabet[0x20])
+        else:
+            shown = "".join(map(self.alphabet.__getitem__, letters.encode()))
         return [t.id for t in self.model.tokenize(shown)] + self.marks[mark]
 
     def _learn(self, words: list[bytes]) -> None:
