@@ -188,6 +188,11 @@ def _trie_pattern(words: list[str]) -> str:
     return f"(?:{'|'.join(branches)})" + ("?" if ends else "")
 
 
+def stripped(text: Column) -> Column:
+    """The text without white space at its ends: blanks, tabs and line breaks."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def lexicon_pattern(words: list[str]) -> str:
     """One regular expression that finds any lexicon entry as a whole word.
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from querysentry import registry
 from querysentry.operators.quantiles import exact_quantile
-from querysentry.session import GroupProfile, profile_groups
+from querysentry.session import GroupProfile, join_groups, profile_groups
 
 MODEL = ["model"]
 
@@ -35,9 +35,11 @@ def threshold_fixed_fpr(scores: DataFrame, fpr: float, by: list[str] = MODEL) ->
 def with_thresholds(
     scores: DataFrame, thresholds: DataFrame, by: list[str] = MODEL, profile: GroupProfile | None = None
 ) -> DataFrame:
-    """Attach each model's threshold to its rows."""
+    """Attach each model's threshold to its rows. A model without one is an error, not left out."""
     profile = profile or profile_groups(scores, by)
-    return scores.join(profile.hint(thresholds), by)
+    missing = F.raise_error(F.concat(F.lit("No threshold for "), F.to_json(F.struct(*by)) if by else F.lit("the scores")))
+    joined = join_groups(scores, profile.hint(thresholds), by, "left")
+    return joined.withColumn("threshold", F.coalesce("threshold", missing.cast("double")))
 
 
 def exceedance(scores: DataFrame, thresholds: DataFrame, by: list[str] = MODEL) -> DataFrame:
@@ -56,7 +58,7 @@ def insider_as_fn(scores: DataFrame, by: list[str] = MODEL, technique: str = "in
     """
     lowest = profile_groups(scores, by).hint(scores.groupBy(*by).agg(F.min("score").alias("_lowest")))
     changed = F.when(F.col("attack_technique") == technique, F.col("_lowest")).otherwise(F.col("score"))
-    return scores.join(lowest, by).withColumn("score", changed).drop("_lowest").select(*scores.columns)
+    return join_groups(scores, lowest, by).withColumn("score", changed).drop("_lowest").select(*scores.columns)
 
 
 def predict(scores: DataFrame, thresholds: DataFrame, by: list[str] = MODEL) -> DataFrame:

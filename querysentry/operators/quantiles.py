@@ -62,16 +62,17 @@ def running_totals(
         )
     n = _bucket_count(counts, buckets)
     step = math.ceil(math.sqrt(n))
-    group = by or ["_all"]
-    if not by:
-        counts = counts.withColumn("_all", F.lit(1))
+    # The group columns go into one struct, which is never null, so that a null group
+    # takes part in the joins below just as it does in a window.
+    kept, group = counts.columns, ["_group"]
+    counts = counts.withColumn("_group", F.struct(*by) if by else F.lit(1))
 
+    known = F.when(~F.isnan(F.col(order).cast("double")), F.col(order).cast("double"))
+    sketched = F.percentile_approx(known, [i / n for i in range(1, n)], max(SKETCH_ACCURACY, 20 * n))
     splits = counts.groupBy(*group).agg(
-        F.array_distinct(
-            F.percentile_approx(F.col(order).cast("double"), [i / n for i in range(1, n)], max(SKETCH_ACCURACY, 20 * n))
-        ).alias("_splits")
+        F.coalesce(F.array_distinct(sketched), F.array().cast("array<double>")).alias("_splits")
     ).withColumn("_coarse", F.filter("_splits", lambda _, i: (i + 1) % step == 0))
-    bucketed = counts.join(profile.hint(splits), group).withColumn(
+    bucketed = counts.join(profile.hint(splits, 64 + 10 * n), group).withColumn(
         "_bucket", _bucket(F.col(order), F.col("_splits"), F.col("_coarse"), step)
     ).drop("_splits", "_coarse")
 
@@ -94,7 +95,6 @@ def running_totals(
     inside = W.partitionBy(*group, "_bucket").orderBy(direction(order))
     upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
     joined = bucketed.join(offsets, [*group, "_bucket"])
-    kept = [c for c in counts.columns if by or c != "_all"]
     return joined.select(
         *kept,
         *[(F.col(f"_before_{c}") + F.sum(c).over(upto)).alias(f"cum_{c}") for c in sums],
@@ -116,9 +116,8 @@ def _at_ranks(
     values inside the bracket are counted one by one; those below it count as one.
     """
     margin = 2 / SKETCH_ACCURACY
-    group = by or ["_all"]
-    if not by:
-        values = values.withColumn("_all", F.lit(1))
+    group = ["_all"]
+    values = values.select(*values.columns, (F.struct(*by) if by else F.lit(1)).alias("_all"))
     sketch = F.percentile_approx("_v", [max(q - margin, 0.0), min(q + margin, 1.0)], SKETCH_ACCURACY)
     stats = values.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), sketch.alias("_s")
@@ -146,7 +145,7 @@ def _at_ranks(
         F.min(F.when(F.col("cum_c") > high_rank, F.col("_v"))).alias("high"),
     )
     checked = F.when(F.col("low") < F.col("_lo"), F.raise_error(F.lit("quantile bracket missed its rank"))).otherwise(F.col("low"))
-    return found.select(*by, "n", checked.alias("low"), "high")
+    return found.select(*(F.col(f"_all.{c}").alias(c) for c in by), "n", checked.alias("low"), "high")
 
 
 def _values(df: DataFrame, value: str | Column, by: list[str]) -> DataFrame:
@@ -184,7 +183,10 @@ def exact_quantiles(
     for q in qs:
         position = (F.col("n") - 1) * F.lit(float(q))
         found = _at_ranks(values, by, q, F.floor(position), F.ceil(position), profile)
-        between = F.col("low") + (F.col("high") - F.col("low")) * (position - F.floor(position))
+        # The same arithmetic as the built-in aggregate, so both plans give the same bits.
+        low, high = F.floor(position), F.ceil(position)
+        mixed = (high - position) * F.col("low") + (position - low) * F.col("high")
+        between = F.when((low == high) | (F.col("low") == F.col("high")), F.col("low")).otherwise(mixed)
         parts.append(found.select(*by, F.lit(float(q)).alias("q"), "n", between.alias("quantile")))
     result = parts[0]
     for part in parts[1:]:

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from querysentry import registry
+from querysentry.functions.text import stripped
 from querysentry.operators.quantiles import exact_quantile, exact_quantiles
 from querysentry.session import broadcast_if_small, profile_groups
 
@@ -44,16 +45,16 @@ def model_names(spark: SparkSession, pipeline: str, baselines: dict[str, str] |
 
 def map_models(results: DataFrame, names: DataFrame) -> DataFrame:
     """Results with classifier and semantic model; unknown models are dropped."""
-    return results.withColumn("model", F.trim("model")).join(broadcast_if_small(names), "model")
+    return results.withColumn("model", stripped(F.col("model"))).join(broadcast_if_small(names), "model")
 
 
 def parse_value(text: Column) -> Column:
-    return F.trim(text).try_cast("double")
+    return stripped(text).try_cast("double")
 
 
 def parse_percent(text: Column) -> Column:
     """``" 12.34% "`` as 12.34; null where it is no number."""
-    return F.regexp_replace(F.trim(text), "%+$", "").try_cast("double")
+    return F.regexp_replace(stripped(text), "%+$", "").try_cast("double")
 
 
 def percent_or_zero(df: DataFrame, column: str) -> Column:
@@ -236,7 +237,7 @@ def template_of(full_query: Column, user_input: Column) -> Column:
 
     Null if the statement does not hold the input.
     """
-    value = F.trim(user_input)
+    value = stripped(user_input)
     at = F.instr(full_query, value)
     rest = F.substring(full_query, at + F.length(value), F.length(full_query))
     return F.when(at > 0, F.concat(F.substring(full_query, F.lit(1), at - 1), F.lit(PLACEHOLDER), rest))
@@ -247,7 +248,7 @@ def extract_templates(df: DataFrame) -> DataFrame:
     return df.select(
         "*",
         template_of(F.col("full_query"), F.col("user_inputs")).alias("template"),
-        F.trim("user_inputs").alias("payload"),
+        stripped(F.col("user_inputs")).alias("payload"),
     ).filter(F.col("template").isNotNull())
 
 

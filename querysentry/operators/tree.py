@@ -222,23 +222,34 @@ IN_ROW_TREE = 65_536
 def named_edges(traces: DataFrame, kinds: DataFrame, keys: list[str]) -> DataFrame:
     """Edges with the symbol names of both ends.
 
-    Where a tree repeats an order number the last node counts. Both ends are looked
-    up inside the row for trees of up to ``IN_ROW_TREE`` characters, which shuffles
+    Where a tree repeats an order number the last node counts. Edges with an end that
+    no node bears are left out here and listed by ``dangling_edges``. Both ends are
+    looked up inside the row for trees of up to ``IN_ROW_TREE`` characters, which shuffles
     nothing. Larger trees, where a look-up per edge would grow with the square of
     the tree, are exploded and joined, so one of any size spreads over many tasks.
     The symbol table is broadcast once its size has been checked.
     """
-    size = F.length(TREE)
-    small = _edge_kinds_in_row(traces.filter(size <= IN_ROW_TREE), keys)
-    large = _edge_kinds_joined(traces.filter(size > IN_ROW_TREE), keys)
+    edges = _edge_kinds(traces, keys).filter("parent_found and child_found")
     names = broadcast_if_small(kinds.select("kind", "name"))
-    edges = small.unionByName(large)
     for end in ("parent", "child"):
         named = names.select(F.col("kind").alias(f"{end}_kind"), F.col("name").alias(f"{end}_name"))
         edges = edges.join(named, f"{end}_kind", "left")
     return edges.select(*keys, "pos", "parent", "child", "parent_name", "child_name")
 
 
+def dangling_edges(traces: DataFrame, keys: list[str]) -> DataFrame:
+    """Edges with an end that no node of their tree bears, and which ends are found."""
+    edges = _edge_kinds(traces, keys).filter("not (parent_found and child_found)")
+    return edges.select(*keys, "pos", "parent", "child", "parent_found", "child_found")
+
+
+def _edge_kinds(traces: DataFrame, keys: list[str]) -> DataFrame:
+    size = F.length(TREE)
+    small = _edge_kinds_in_row(traces.filter(size <= IN_ROW_TREE), keys)
+    large = _edge_kinds_joined(traces.filter(size > IN_ROW_TREE), keys)
+    return small.unionByName(large)
+
+
 def _edge_kinds_in_row(traces: DataFrame, keys: list[str]) -> DataFrame:
     backwards = F.reverse("_fields")  # the first match is the last node
     parsed = with_node_fields(traces).withColumns(
@@ -260,25 +271,31 @@ def _edge_kinds_in_row(traces: DataFrame, keys: list[str]) -> DataFrame:
         ),
     )
     ends = F.transform(
-        F.filter(found, lambda e: (e.p > 0) & (e.c > 0)),
+        found,
         lambda e: F.struct(
             e.pos.alias("pos"), e.parent.alias("parent"), e.child.alias("child"),
-            F.get("_kinds", e.p - 1).alias("parent_kind"), F.get("_kinds", e.c - 1).alias("child_kind"),
+            F.when(e.p > 0, F.get("_kinds", e.p - 1)).alias("parent_kind"),
+            F.when(e.c > 0, F.get("_kinds", e.c - 1)).alias("child_kind"),
+            F.coalesce(e.p > 0, F.lit(False)).alias("parent_found"), F.coalesce(e.c > 0, F.lit(False)).alias("child_found"),
         ),
     )
     return parsed.select(*keys, F.inline_outer(ends)).filter(F.col("pos").isNotNull())
 
 
 def _edge_kinds_joined(traces: DataFrame, keys: list[str]) -> DataFrame:
+    # What a node is depends on its tree's text alone, so the text's digest names the tree:
+    # null or repeated keys don't mix trees up.
+    named = traces.withColumn("_tree", F.md5(TREE))
     nodes = (
-        explode_nodes(traces, keys)
-        .groupBy(*keys, F.col("order").try_cast("long").alias("order"))
+        explode_nodes(named, ["_tree"])
+        .groupBy("_tree", F.col("order").try_cast("long").alias("order"))
         .agg(F.max_by(F.col("kind").try_cast("int"), "pos").alias("kind"))
     )
-    edges = explode_edges(traces, keys)
+    edges = explode_edges(named, [*keys, "_tree"])
     for end in ("parent", "child"):
-        edges = edges.join(nodes.withColumnsRenamed({"order": end, "kind": f"{end}_kind"}), [*keys, end])
-    return edges.select(*keys, "pos", "parent", "child", "parent_kind", "child_kind")
+        side = nodes.select("_tree", F.col("order").alias(end), F.col("kind").alias(f"{end}_kind"), F.lit(True).alias(f"{end}_found"))
+        edges = edges.join(side, ["_tree", end], "left").withColumn(f"{end}_found", F.coalesce(f"{end}_found", F.lit(False)))
+    return edges.select(*keys, "pos", "parent", "child", "parent_kind", "child_kind", "parent_found", "child_found")
 
 
 def untagged_rules(rules: DataFrame, tags: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_BROADCAST_GROUPS = 10_000
+MAX_BROADCAST_BYTES = 32 << 20
 SMALL_GROUP_ROWS = 1_000_000
 
 
@@ -35,6 +36,7 @@ def checkpoint_root(spark: SparkSession) -> str:
 
     The cluster names it in ``spark.checkpoint.dir``. Only where neither that
     setting nor a checkpoint directory exists (local tests) a folder is created.
+    On a cluster such a folder would be one machine's own, so that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
@@ -42,6 +44,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"Set spark.checkpoint.dir to a folder that all machines of {master} share")
         root = tempfile.mkdtemp(prefix="querysentry-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
@@ -70,13 +75,14 @@ class GroupProfile(NamedTuple):
         """True if any single group surely fits one task."""
         return self.largest <= SMALL_GROUP_ROWS
 
-    def hint(self, side: DataFrame) -> DataFrame:
-        """Broadcast hint for a table with one row per group, if those are few.
+    def hint(self, side: DataFrame, row_bytes: int = 256) -> DataFrame:
+        """Broadcast hint for a table with one row per group, if those are few and small.
 
         Otherwise the side stays as it is: Spark plans a shuffled join, and AQE
         splits hot groups.
         """
-        return F.broadcast(side) if self.groups <= MAX_BROADCAST_GROUPS else side
+        fits = self.groups <= MAX_BROADCAST_GROUPS and self.groups * row_bytes <= MAX_BROADCAST_BYTES
+        return F.broadcast(side) if fits else side
 
 
 def profile_groups(source: DataFrame, by: list[str]) -> GroupProfile:
@@ -89,6 +95,15 @@ def profile_groups(source: DataFrame, by: list[str]) -> GroupProfile:
     return GroupProfile(row.groups, row.largest)
 
 
+def join_groups(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """Join on group columns; a null group meets a null group, as it does in an aggregation."""
+    named = right.withColumnsRenamed({c: f"_by_{c}" for c in by})
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    return left.join(named, on, how).drop(*(f"_by_{c}" for c in by))
+
+
 def broadcast_if_small(side: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Broadcast a dimension only after its rows were counted (up to the limit)."""
     if side.limit(max_rows + 1).count() <= max_rows:

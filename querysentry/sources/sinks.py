@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.errors import AnalysisException
@@ -34,7 +35,9 @@ def content_fingerprint(df: DataFrame) -> DataFrame:
     Three commutative aggregates over a 64-bit row hash: Spark combines them
     inside each partition, so only one small row per task is shuffled.
     """
-    row = df.select(F.xxhash64(*[F.col(c) for c in sorted(df.columns)]).alias("h"))
+    # The hash skips nulls, so whether a column is null is hashed with it.
+    columns = [part for c in sorted(df.columns) for part in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    row = df.select(F.xxhash64(*columns).alias("h"))
     return row.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.coalesce(F.bit_xor("h"), F.lit(0)).alias("xor_hash"),
@@ -47,8 +50,11 @@ def materialize(df: DataFrame, root: str, version: str, mode: str, source: DataF
 
     ``source`` is the input whose content decides (default: the table itself).
     """
-    print_row = content_fingerprint(df if source is None else source).first()
-    name = f"{print_row.n_rows}-{print_row.xor_hash & (2**64 - 1):016x}-{print_row.sum_hash}"
+    source = df if source is None else source
+    print_row = content_fingerprint(source).first()
+    # Names and types are part of the key, so no table is read under another's schema.
+    schemas = hashlib.sha256("\n".join(d.schema.json() for d in (source, df)).encode()).hexdigest()[:16]
+    name = f"{schemas}-{print_row.n_rows}-{print_row.xor_hash & (2**64 - 1):016x}-{print_row.sum_hash}"
     path = f"{root.rstrip('/')}/mode={mode}/version={version}/fingerprint={name}"
     spark = df.sparkSession
     if not _has_marker(spark, path):

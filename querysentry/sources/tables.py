@@ -78,24 +78,46 @@ def read_trace_log(
     path: str | list[str],
     extra: list[T.StructField] | None = None,
     header_from_file: bool = False,
-    multi_line: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Parser-trace log rows from CSV.
 
-    By default the standard column order is assumed and header rows are skipped,
-    so empty files give an empty table. ``header_from_file`` takes names and
-    order from the files' own header row instead.
+    By default the standard column order is expected; a file whose header row says
+    otherwise is an error, never read into wrong columns. ``header_from_file`` takes
+    names and order from each file's own header row instead: files with the same
+    header are read together, those without one in the standard order. Empty files
+    give an empty table. ``multi_line`` accepts line breaks inside quotes, at the
+    price of one task per file.
     """
-    reader = (
-        spark.read.option("header", True).option("quote", '"').option("escape", '"')
-        .option("multiLine", multi_line).option("enforceSchema", True)
-    )
+    standard = T.StructType([*(extra or []), *_LOG_STRINGS.fields])
+    reader = spark.read.option("quote", '"').option("escape", '"').option("multiLine", multi_line)
     if not header_from_file:
-        reader = reader.schema(T.StructType([*(extra or []), *_LOG_STRINGS.fields]))
-    raw = reader.csv(path)
-    if header_from_file and not raw.columns:
-        raw = spark.createDataFrame([], _LOG_STRINGS)
-    return typed_trace_log(raw)
+        return typed_trace_log(reader.schema(standard).option("header", True).option("enforceSchema", False).csv(path))
+    types = {f.name: f.dataType for f in standard.fields}
+    rows = None
+    for header, files in _files_by_header(spark, path).items():
+        names = [n.strip().strip('"') for n in header.split(",")] if header else standard.names
+        schema = T.StructType([T.StructField(n, types.get(n, T.StringType())) for n in names])
+        part = reader.schema(schema).option("header", bool(header)).csv(files)
+        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+    return typed_trace_log(spark.createDataFrame([], standard) if rows is None else rows)
+
+
+def _files_by_header(spark: SparkSession, path: str | list[str]) -> dict[str, list[str]]:
+    """Header rows (lines that name the statement's key) and the files that hold them; "" for files without one."""
+    lines = spark.read.text(path)
+    fields = F.transform(F.split("value", ","), lambda f: F.trim(F.replace(f, F.lit('"'), F.lit(""))))
+    heads = (
+        lines.select(F.input_file_name().alias("file"), "value", fields.alias("fields"))
+        .filter(F.array_contains("fields", "query_id")).select("file", "value").distinct()
+    )
+    # One short row per file, as many as Spark's own file listing holds.
+    made: dict[str, list[str]] = {}
+    for row in heads.collect():
+        made.setdefault(row.value, []).append(row.file)
+    headed = {f for files in made.values() for f in files}
+    rest = [f for f in lines.inputFiles() if f not in headed]
+    return {**made, **({"": rest} if rest else {})}
 
 
 def read_null_normalised_csv(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:

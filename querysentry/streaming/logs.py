@@ -21,13 +21,14 @@ from querysentry.sources.tables import typed_trace_log
 
 
 def stream_trace_log(
-    spark: SparkSession, path: str, extra: list[T.StructField] | None = None, max_files: int | None = None
+    spark: SparkSession, path: str, extra: list[T.StructField] | None = None, max_files: int | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """Trace-log rows of a folder as they arrive."""
+    """Trace-log rows of a folder as they arrive. A file whose header names other columns is an error."""
     columns = [*(extra or []), *[T.StructField(c, T.StringType()) for c in registry.LOG_COLUMNS]]
     reader = (
         spark.readStream.schema(T.StructType(columns)).option("header", True)
-        .option("quote", '"').option("escape", '"').option("multiLine", True)
+        .option("quote", '"').option("escape", '"').option("multiLine", multi_line).option("enforceSchema", False)
     )
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)

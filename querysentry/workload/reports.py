@@ -184,8 +184,8 @@ def sample_fraction(spark, sf_dir):
 
 @query(
     "shuffled_first_n",
-    f"""SELECT row_id, CONCAT('{{value}}', substr(full_query, length(trim(user_inputs)) + 1)) AS template FROM
-(SELECT * FROM ({STATEMENTS}) WHERE instr(full_query, trim(user_inputs)) = 1) ORDER BY {_hash(2)}, row_id LIMIT 100""",
+    f"""SELECT row_id, CONCAT('{{value}}', substr(full_query, length(regexp_replace(user_inputs, '^\\s+|\\s+$', '', 'g')) + 1)) AS template FROM
+(SELECT * FROM ({STATEMENTS}) WHERE instr(full_query, regexp_replace(user_inputs, '^\\s+|\\s+$', '', 'g')) = 1) ORDER BY {_hash(2)}, row_id LIMIT 100""",
 )
 def shuffled_first_n(spark, sf_dir):
     """The first hundred statements, in random order, that begin with their input."""
@@ -411,10 +411,10 @@ def tail_rows(spark, sf_dir):
 
 # --- Variants ------------------------------------------------------------------------------------
 
-_TEMPLATES = f"""SELECT row_id, full_query, trim(user_inputs, ' ') AS payload,
-CASE WHEN instr(full_query, trim(user_inputs, ' ')) > 0 THEN
-CONCAT(substr(full_query, 1, instr(full_query, trim(user_inputs, ' ')) - 1), '{{value}}',
-       substr(full_query, instr(full_query, trim(user_inputs, ' ')) + length(trim(user_inputs, ' ')))) END AS template FROM ({STATEMENTS})"""
+_TEMPLATES = f"""SELECT row_id, full_query, regexp_replace(user_inputs, '^\\s+|\\s+$', '', 'g') AS payload,
+CASE WHEN instr(full_query, regexp_replace(user_inputs, '^\\s+|\\s+$', '', 'g')) > 0 THEN
+CONCAT(substr(full_query, 1, instr(full_query, regexp_replace(user_inputs, '^\\s+|\\s+$', '', 'g')) - 1), '{{value}}',
+       substr(full_query, instr(full_query, regexp_replace(user_inputs, '^\\s+|\\s+$', '', 'g')) + length(regexp_replace(user_inputs, '^\\s+|\\s+$', '', 'g')))) END AS template FROM ({STATEMENTS})"""
 
 
 @query("extract_templates", f"SELECT row_id, payload, template FROM ({_TEMPLATES}) WHERE template IS NOT NULL")

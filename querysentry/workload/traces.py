@@ -78,8 +78,12 @@ def read_trace_log(spark, sf_dir):
         F.when(F.col("query_id") % 13 == 0, "").otherwise(F.col("semantic_tree")).alias("semantic_tree"),
         "depth",
     )
-    raw.write.option("header", True).option("escape", '"').option("ignoreTrailingWhiteSpace", False).csv(path)
-    return tables.read_trace_log(spark, path, _LOG_EXTRA)
+    # Two groups of files with their columns in different orders.
+    for half, columns in enumerate((raw.columns, raw.columns[::-1])):
+        rows = raw.filter(F.col("stmt_id") % 2 == half).select(*columns)
+        rows.write.option("header", True).option("escape", '"').option("ignoreTrailingWhiteSpace", False).csv(f"{path}/half={half}")
+    log = tables.read_trace_log(spark, [f"{path}/half=0", f"{path}/half=1"], _LOG_EXTRA, header_from_file=True)
+    return log.select(*raw.columns)
 
 
 MERGED = f"""SELECT stmt_id, arg_min(query_id, seq) AS query_id, CAST(SUM(n_terminal) AS BIGINT) AS n_terminal,
@@ -270,13 +274,13 @@ def statement_kind_counts(spark, sf_dir):
     "kind_columns",
     f"""WITH k AS ({_KINDS}), s AS (SELECT DISTINCT l_orderkey AS stmt_id FROM lineitem)
 SELECT s.stmt_id, """
-    + ", ".join(f"CAST(COALESCE(SUM(n) FILTER (WHERE kind = {k}), 0) AS INT) AS kind_{k}" for k in range(832, 848))
+    + ", ".join(f"CAST(COALESCE(SUM(n) FILTER (WHERE kind = {k}), 0) AS INT) AS kind_{k}" for k in range(registry.MIN_RULE_KIND, registry.MAX_RULE_KIND + 1))
     + " FROM s LEFT JOIN k ON k.stmt_id = s.stmt_id GROUP BY s.stmt_id",
 )
 def kind_columns(spark, sf_dir):
-    """Wide form, on request, for the first sixteen rules."""
+    """Wide form, on request, of all rules."""
     kinds = TREE.vectorize_symbkinds(TREE.symbkinds(TR.merge_traces(trace_log(spark, sf_dir)), ["stmt_id"]))
-    return TREE.widen_kinds(kinds, range(832, 848)).drop("symbkinds", "kind_counts")
+    return TREE.widen_kinds(kinds, range(registry.MIN_RULE_KIND, registry.MAX_RULE_KIND + 1)).drop("symbkinds", "kind_counts")
 
 
 # --- Feature tables -----------------------------------------------------------------------

@@ -1,0 +1,114 @@
+"""Cases that once gave wrong or size-dependent results."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from querysentry import session
+from querysentry.operators import curves as C
+from querysentry.operators import metrics as M
+from querysentry.operators import quantiles as Q
+from querysentry.operators import reports as R
+from querysentry.operators import tree as TREE
+from querysentry.plans.evaluation import model_report
+from querysentry.sources import sinks, tables
+
+
+def odd_scores(spark):
+    """Models a and null, and a NaN score."""
+    n = F.col("id")
+    score = F.when(n == 7, float("nan")).otherwise(F.round((n * 37 % 101) / 7, 3))
+    return spark.range(600).select(
+        n.alias("row_id"), F.when(n % 3 > 0, "a").alias("model"), score.alias("score"), (n % 4 == 0).cast("int").alias("label"),
+        F.lit("t").alias("attack_technique"), F.lit("s").alias("statement_type"),
+    )
+
+
+def test_plans_agree_on_null_groups(spark, monkeypatch):
+    scores = odd_scores(spark).filter("not isnan(score)").cache()
+
+    def everything():
+        found = [
+            Q.exact_quantile(scores, "score", 0.37, ["model"]), C.curve_areas(scores).select("model", F.round("auprc", 12), F.round("auroc", 12)),
+            C.pr_curve(scores), C.roc_curve(scores),
+        ]
+        return [sorted(map(str, df.collect())) for df in found]
+
+    simple = everything()
+    assert any("None" in row for row in simple[0])
+    monkeypatch.setattr(session, "SMALL_GROUP_ROWS", 1)
+    assert everything() == simple
+
+
+def test_plans_agree_on_nan(spark, monkeypatch):
+    counts = C.score_counts(odd_scores(spark)).cache()
+    simple = sorted(map(str, Q.running_totals(counts, ["model"], "score", ["pos"]).collect()))
+    monkeypatch.setattr(session, "SMALL_GROUP_ROWS", 1)
+    assert sorted(map(str, Q.running_totals(counts, ["model"], "score", ["pos"], buckets=9).collect())) == simple
+
+
+def test_model_without_threshold(spark):
+    scores = odd_scores(spark).filter("not isnan(score)")
+    with pytest.raises(Exception, match="No threshold"):
+        M.predict(scores, M.threshold(scores.filter("model = 'a'"))).collect()
+    with pytest.raises(Exception, match="No threshold"):
+        model_report(scores, scores.filter("model = 'a'")).collect()
+    assert model_report(scores, scores).count() == 2
+
+
+def test_named_edges_plans_agree(spark, monkeypatch):
+    trees = ["1:900::::|2:901::::|||-||1>2: ", "1:900::::|2:901::::|||-||2>1: ", "1:900::::|||-||1>9: "]
+    rows = spark.createDataFrame([(None, trees[0]), (5, trees[0]), (5, trees[1]), (6, trees[2])], "k long, semantic_tree string")
+    kinds = spark.createDataFrame([(900, "A"), (901, "B")], "kind int, name string")
+
+    def found():
+        return sorted(map(str, [*TREE.named_edges(rows, kinds, ["k"]).collect(), *TREE.dangling_edges(rows, ["k"]).collect()]))
+
+    inside = found()
+    assert len(inside) == 4 and sum("parent_name='A', child_name='B'" in r for r in inside) == 2
+    assert TREE.dangling_edges(rows, ["k"]).collect()[0][:] == (6, 0, 1, 9, True, False)
+    monkeypatch.setattr(TREE, "IN_ROW_TREE", 0)
+    assert found() == inside
+
+
+def test_fingerprint_sees_nulls_and_names(spark, tmp_path):
+    one = spark.createDataFrame([("x", None)], "a string, b string")
+    two = spark.createDataFrame([(None, "x")], "a string, b string")
+    three = one.toDF("c", "d")
+    for df in (one, two, three):
+        assert sinks.materialize(df, str(tmp_path), "1", "m").collect() == df.collect()
+
+
+def test_header_orders(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("query_id,n_terminal,n_nonterminal,is_syntax_error,semantic_tree,depth\n1,2,3,0,T,5\n")
+    (tmp_path / "b.csv").write_text("depth,semantic_tree,query_id,n_terminal,n_nonterminal,is_syntax_error\n5,U,2,2,3,0\n")
+    (tmp_path / "c.csv").write_text("")
+    rows = tables.read_trace_log(spark, str(tmp_path), header_from_file=True).orderBy("query_id").collect()
+    assert [(r.query_id, r.semantic_tree, r.depth) for r in rows] == [(1, "T", 5), (2, "U", 5)]
+    with pytest.raises(Exception):
+        tables.read_trace_log(spark, str(tmp_path)).collect()
+
+
+def test_white_space_is_stripped(spark):
+    df = spark.createDataFrame([("SELECT ab;", "ab\t"), ("SELECT cd;", "\n cd "), ("SELECT e", "zz"), ("S", None)], "full_query string, user_inputs string")
+    assert sorted(r.template for r in R.extract_templates(df).collect()) == ["SELECT {value};", "SELECT {value};"]
+
+
+def test_cluster_needs_a_shared_folder(monkeypatch):
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.checkpoint_root(Session())
