@@ -111,7 +111,7 @@ class Product:
                     made[weakly] = 0
                     continue
                 below = children[node].get(byte)
-                if below is not None:
+                if below is not None and (not used or bears[below]):
                     made[below] = min(made.get(below, used), used)
                 if used < edits and bears[node]:
                     for other in (node, *children[node].values()):  # a letter too many, or another one
@@ -143,7 +143,8 @@ class Product:
         self.table = np.array([rows[i] for i in range(len(numbers))], np.int32)
         self.verdict = np.zeros(len(numbers), np.int8)
         for states, number in numbers.items():
-            found = {1 if node == -2 else 3 if node == weakly else 2 if used else 1 for node, used in states if node < 0 or ends[node] in (1, 2)}
+            found = {1 if node == -2 else 3 if node == weakly else 2 if used else 1 for node, used in states
+                     if node < 0 or ends[node] == 1 and (not used or depth[node] >= min_fuzzy)}
             self.verdict[number] = next((v for v in (1, 3, 2) if v in found), 0)
 
     def accepts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
