@@ -25,6 +25,7 @@ import re
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,7 +95,7 @@ class Templates:
     words such as "5km".
     """
 
-    MEMORY = 300_000
+    MEMORY = 500_000
     LITERAL_WORD, NUMBER_WORD, UNIT_WORD, MARKS, JOINT = range(5)
 
     def __init__(self, size: int = WINDOW, literal: int = LITERAL):
@@ -114,18 +115,20 @@ class Templates:
             self.kinds, self.hashes, self.ends, self.capital = (
                 np.concatenate([x, np.zeros_like(x)]) for x in (self.kinds, self.hashes, self.ends, self.capital)
             )
-        template, values = canonical("x " + raw)
-        alone, _ = canonical("x 1 " + raw)
-        if len(template) == 1:
-            kind, value = self.MARKS, ""
-        elif len(template) > 2:
-            kind, value = self.JOINT, ""
+        # Most words are letters, perhaps with a mark behind them.
+        core = raw if raw.isalpha() else raw[:-1] if raw[-1] in ".,;:!?" and raw[:-1].isalpha() else None
+        if core is not None:
+            value = core.lower()
+            kind = self.NUMBER_WORD if value in _NUMBERS else self.UNIT_WORD if value in _UNITS else self.LITERAL_WORD
+            self.capital[at] = kind != self.NUMBER_WORD and core[0].isupper() and not core.isupper()
         else:
-            value = values[1]
-            kind = self.NUMBER_WORD if template[1] == NUMBER else self.LITERAL_WORD
-            self.capital[at] = template[1] == NAME
-            if alone[-1] == UNIT:
-                kind = self.UNIT_WORD
+            template, values = canonical("x " + raw)
+            kind, value = self.MARKS if len(template) == 1 else self.JOINT, ""
+            if len(template) == 2:
+                value = values[1]
+                self.capital[at] = template[1] == NAME
+                unit = canonical("x 1 " + raw)[0][-1] == UNIT
+                kind = self.NUMBER_WORD if template[1] == NUMBER else self.UNIT_WORD if unit else self.LITERAL_WORD
         self.places[raw] = at
         self.values.append(value)
         self.kinds[at], self.hashes[at], self.ends[at] = kind, _hash(value), raw[-1] in ".!?:"
@@ -193,8 +196,6 @@ class _Values:
 
 
 def _hash(word: str) -> int:
-    import xxhash
-
     return xxhash.xxh64_intdigest(word)
 
 
