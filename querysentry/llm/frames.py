@@ -14,17 +14,20 @@ from pyspark.sql import functions as F
 from querysentry.session import checkpoint_root, shared_path
 
 #: Bytes of text that one step inside a task works on; a longer text is a step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 
 def kept_in_process(key: tuple, make: Callable):
     """Make a costly object (a tokenizer, its word cache) once in each worker process.
 
     Functions travel to executors by value, so their own globals start anew with every
-    task; a module of the process does not.
+    task; a module of the process does not. Workers outlive stages, so only the object
+    asked for last is kept (and number tables): a job's stages don't pile theirs up.
     """
     home = sys.modules.setdefault("_querysentry_kept", types.ModuleType("_querysentry_kept")).__dict__
     if key not in home:
+        for old in [k for k in home if isinstance(k, tuple) and "powers" not in (k[0], key[0])]:
+            del home[old]
         home[key] = make()
     return home[key]
 
