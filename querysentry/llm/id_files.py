@@ -113,7 +113,7 @@ def write_id_files(
 
         for batch in batches:
             for piece in steps(batch):
-                for doc_id, ids in zip(piece.column("doc_id").to_pylist(), encoder.encode(piece.column("text").to_pylist())):
+                for doc_id, ids in zip(piece.column("doc_id").to_pylist(), encoder.encode(piece.column("text"))):
                     if held and size + len(ids) + 1 > segment_ids:
                         yield closed()
                         number, held, size = number + 1, [], 0

@@ -128,7 +128,7 @@ def pack_documents(
         for batch in batches:
             for part in steps(batch):
                 full = []
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text").to_pylist())):
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text"))):
                     for piece in _pieces(doc_id, np.append(ids, end_id), capacity):
                         (full if len(piece[2]) == capacity else rests).append(piece)
                 if full:

@@ -1,8 +1,9 @@
 """Token ids by the tokenizers library, with a memory of the words already encoded.
 
 A text is cut where its tokenizer surely cuts: word by word. Each distinct word goes
-through the library once for a worker (until the memory is full and starts anew); the
-texts' ids are then put together by numpy. Two kinds of cuts are known:
+through the library once for a worker (until the memory is full and starts anew). Arrow
+numbers the words of a step, so Python sees each word once a step; the texts' ids are then
+put together by numpy. Two kinds of cuts are known:
 
 * ``blank``: a blank after a word. A byte-level tokenizer begins a pre-token at a blank
   between characters that are no white space, so "a b" is "a" and " b". Texts with other
@@ -22,6 +23,8 @@ import re
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from querysentry.llm.frames import kept_in_process
 
@@ -69,7 +72,9 @@ class WordEncoder:
         self.places: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 16, np.int32)
         self.starts = np.zeros(1 << 16, np.int64)
-        self.known = self.used = 0
+        # Place 0 is no word at all: it has no ids.
+        self.places[b""] = self.used = 0
+        self.known = 1
         self.marks: dict[str, list[int]] = {"": []}
         self.newline = self.whole("\n")
 
@@ -109,33 +114,43 @@ class WordEncoder:
             self.starts[self.known + 1 : self.known + 1 + len(lists)] = ends
             self.known, self.used = self.known + len(lists), int(ends[-1])
 
-    def _words(self, text: str) -> list[bytes]:
-        raw = text.encode()
-        if self.cut == "space":
-            return raw.split()
-        head, *rest = raw.split(b" ")
-        return [*([head] if head else []), *(b" " + w for w in rest)]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def _words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The place of every word of all texts, one after another, and the number of words of each text."""
+        parts = pc.split_pattern(texts.cast(pa.binary()), " ") if self.cut == "blank" else pc.ascii_split_whitespace(texts)
+        n = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = parts.flatten().cast(pa.binary())
+        coded = flat.dictionary_encode()
+        words, heads = coded.dictionary.to_pylist(), []
+        if self.cut == "blank":
+            words = [b" " + w for w in words]
+            first = (np.cumsum(n) - n)[n > 0]
+            heads = flat.take(pa.array(first)).to_pylist()
+        self._learn(list(set(chain(words, heads)).difference(self.places)))
+        places = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
+        at = places[coded.indices.to_numpy(zero_copy_only=False)]
+        if heads:
+            at[first] = np.fromiter(map(self.places.__getitem__, heads), np.int64, len(heads))
+        return at, n
+
+    def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
         """Ids of each text."""
         if len(self.places) > MEMORY:
             self._start()
-        split = [self._words(t) for t in texts]
-        fresh = set(chain.from_iterable(split)).difference(self.places)
-        self._learn(list(fresh))
-        made = []
-        for text, words in zip(texts, split):
-            at = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
-            if len(at) == 0:
-                made.append(np.zeros(0, np.int32))
-            elif at.min() == _WHOLE:
-                made.append(np.array(self.whole(text), np.int32))
-            else:
-                begin = self.starts[at]
-                n = self.starts[at + 1] - begin
-                total = np.cumsum(n)
-                made.append(self.ids[np.repeat(begin - (total - n), n) + np.arange(total[-1])])
-        return made
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
+        if len(texts) == 0:
+            return []
+        at, words = self._words(texts)
+        known = at != _WHOLE
+        at = np.where(known, at, 0)
+        begin = self.starts[at]
+        n = self.starts[at + 1] - begin
+        total = np.concatenate([[0], np.cumsum(n)])
+        ids = self.ids[np.repeat(begin - total[:-1], n) + np.arange(total[-1])]
+        ends = np.cumsum(words)
+        unknown = np.concatenate([[0], np.cumsum(~known)])
+        spans = zip(total[ends - words].tolist(), total[ends].tolist(), (unknown[ends] > unknown[ends - words]).tolist())
+        return [np.array(self.whole(texts[i].as_py()), np.int32) if odd else ids[a:b] for i, (a, b, odd) in enumerate(spans)]
 
 
 def _grown(array: np.ndarray, size: int) -> np.ndarray:
