@@ -11,6 +11,11 @@ from querysentry.functions.tree import has_two_parts, tree_parts
 INVOCATIONS_PER_CHUNK = 4_096
 
 
+def _total(name: str) -> Column:
+    """The sum of a counter; missing numbers add nothing."""
+    return F.coalesce(F.sum(name), F.lit(0)).alias(name)
+
+
 def merge_trace_counters(log: DataFrame, key: str = "stmt_id", order: str = "seq") -> DataFrame:
     """The numeric part of a merged trace: sums, flags and the number of invocations.
 
@@ -19,10 +24,10 @@ def merge_trace_counters(log: DataFrame, key: str = "stmt_id", order: str = "seq
     """
     return log.groupBy(key).agg(
         F.min_by("query_id", order).alias("query_id"),
-        F.sum("n_terminal").alias("n_terminal"),
-        F.sum("n_nonterminal").alias("n_nonterminal"),
+        _total("n_terminal"),
+        _total("n_nonterminal"),
         F.max(F.when(F.col("is_syntax_error") == 1, 1).otherwise(0)).alias("is_syntax_error"),
-        F.sum("depth").alias("depth"),
+        _total("depth"),
         F.count(F.lit(1)).alias("n_parser_invoc"),
     )
 
@@ -52,13 +57,14 @@ def merge_traces(log: DataFrame, key: str = "stmt_id", order: str = "seq") -> Da
         .agg(
             F.min_by("query_id", order).alias("query_id"),
             F.min(order).alias("_first"),
-            F.sum("n_terminal").alias("n_terminal"),
-            F.sum("n_nonterminal").alias("n_nonterminal"),
+            _total("n_terminal"),
+            _total("n_nonterminal"),
             F.max(F.when(F.col("is_syntax_error") == 1, 1).otherwise(0)).alias("is_syntax_error"),
-            F.sum("depth").alias("depth"),
+            _total("depth"),
             F.count(F.lit(1)).alias("n_parser_invoc"),
-            # Only used for single invocations; identical within such a group.
-            F.min("semantic_tree").alias("_tree"),
+            # The tree of a single invocation, where its parts don't make it up again.
+            F.min(F.when(~usable, F.col("semantic_tree"))).alias("_tree"),
+            F.max(usable).alias("_whole"),
             F.collect_list(piece).alias("_pieces"),
         )
         .withColumn(
@@ -74,12 +80,13 @@ def merge_traces(log: DataFrame, key: str = "stmt_id", order: str = "seq") -> Da
         chunks.groupBy(key)
         .agg(
             F.min_by("query_id", "_first").alias("query_id"),
-            F.sum("n_terminal").alias("n_terminal"),
-            F.sum("n_nonterminal").alias("n_nonterminal"),
+            _total("n_terminal"),
+            _total("n_nonterminal"),
             F.max("is_syntax_error").alias("is_syntax_error"),
-            F.sum("depth").alias("depth"),
+            _total("depth"),
             F.sum("n_parser_invoc").alias("n_parser_invoc"),
             F.min("_tree").alias("_tree"),
+            F.max("_whole").alias("_whole"),
             F.collect_list("_pieces").alias("_pieces"),
         )
         .select(
@@ -88,7 +95,7 @@ def merge_traces(log: DataFrame, key: str = "stmt_id", order: str = "seq") -> Da
             "n_terminal",
             "n_nonterminal",
             "is_syntax_error",
-            F.when(F.col("n_parser_invoc") == 1, F.col("_tree"))
+            F.when((F.col("n_parser_invoc") == 1) & ~F.col("_whole"), F.col("_tree"))
             .otherwise(
                 F.concat(
                     joined(F.col("_pieces"), "nodes"),

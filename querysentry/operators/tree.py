@@ -153,13 +153,11 @@ def statement_features(log: DataFrame, mode: str, key: str = "stmt_id", words=No
         )
     )
     whole = F.col("_whole")
-
-
     aggregates = [
-        F.sum("n_terminal").alias("n_terminal"),
-        F.sum("n_nonterminal").alias("n_nonterminal"),
+        F.coalesce(F.sum("n_terminal"), F.lit(0)).alias("n_terminal"),
+        F.coalesce(F.sum("n_nonterminal"), F.lit(0)).alias("n_nonterminal"),
         F.max(F.when(F.col("is_syntax_error") == 1, 1).otherwise(0)).alias("is_syntax_error"),
-        F.sum("depth").alias("depth"),
+        F.coalesce(F.sum("depth"), F.lit(0)).alias("depth"),
         F.count(F.lit(1)).alias("n_parser_invoc"),
     ]
     sums = [*tags, "_kw_sum", "_kw_n"]

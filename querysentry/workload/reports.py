@@ -550,15 +550,15 @@ def stream_alerts(spark, sf_dir):
     "stream_merge_invocations",
     f"""WITH l AS (SELECT user_id AS stmt_id, event_id AS seq, ts, CAST(FLOOR(value) AS BIGINT) AS n_terminal, user_id % 5 AS depth,
  CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS err, CONCAT('1:', 832 + event_id % 1013, '::', upper(event_type), '::|') AS nodes FROM events),
-w AS (SELECT *, time_bucket(INTERVAL '1 hour', ts) AS start FROM l)
-SELECT stmt_id, strftime(start, '%Y-%m-%d %H:%M:%S') AS window_start, arg_min(seq, seq) AS query_id, CAST(SUM(n_terminal) AS BIGINT) AS n_terminal,
+g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY stmt_id ORDER BY ts, seq) < INTERVAL '1 hour' THEN 0 ELSE 1 END AS fresh FROM l),
+w AS (SELECT *, SUM(fresh) OVER (PARTITION BY stmt_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS run FROM g)
+SELECT stmt_id, strftime(MIN(ts), '%Y-%m-%d %H:%M:%S') AS first_at, arg_min(seq, seq) AS query_id, CAST(SUM(n_terminal) AS BIGINT) AS n_terminal,
 CAST(SUM(depth) AS BIGINT) AS n_nonterminal, MAX(err) AS is_syntax_error,
 CONCAT(string_agg(nodes, '' ORDER BY seq), '||-||', string_agg('1>2: ', '' ORDER BY seq)) AS semantic_tree,
-CAST(SUM(depth) AS BIGINT) AS depth, COUNT(*) AS n_parser_invoc
-FROM w WHERE start + INTERVAL '1 hour' <= (SELECT MAX(ts) - INTERVAL '10 minutes' FROM events) GROUP BY stmt_id, start""",
+CAST(SUM(depth) AS BIGINT) AS depth, COUNT(*) AS n_parser_invoc FROM w GROUP BY stmt_id, run""",
 )
 def stream_merge_invocations(spark, sf_dir):
-    out, checkpoint = (shared_path(spark, "stream", part) for part in ("out", "checkpoint"))
+    """Statements of the stream, ended by a pause of an hour; the last ones are flushed."""
     schema = table(spark, sf_dir, "events").schema
     event, user = F.col("event_id"), F.col("user_id")
     stream = logs.stream_parquet(spark, sf_dir, "events", schema).select(
@@ -574,6 +574,5 @@ def stream_merge_invocations(spark, sf_dir):
         ).alias("semantic_tree"),
         (user % 5).alias("depth"),
     )
-    logs.run_available(logs.stream_merge_invocations(stream), out, checkpoint)
-    merged = spark.read.parquet(out)
-    return merged.withColumn("window_start", F.date_format("window.start", "yyyy-MM-dd HH:mm:ss")).drop("window")
+    merged = logs.stream_merge_invocations(stream, shared_path(spark, "stream", "merge"), flush=True)
+    return merged.withColumn("first_at", F.date_format("start", "yyyy-MM-dd HH:mm:ss")).drop("start", "end")

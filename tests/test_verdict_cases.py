@@ -1,5 +1,7 @@
 """Cases that once gave wrong or size-dependent results."""
 
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,8 +11,10 @@ from querysentry.operators import metrics as M
 from querysentry.operators import quantiles as Q
 from querysentry.operators import reports as R
 from querysentry.operators import tree as TREE
+from querysentry.operators import traces
 from querysentry.plans.evaluation import model_report
 from querysentry.sources import sinks, tables
+from querysentry.streaming import logs
 
 
 def odd_scores(spark):
@@ -112,3 +116,33 @@ def test_cluster_needs_a_shared_folder(monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.checkpoint_root(Session())
+
+
+def test_missing_counters_add_nothing(spark):
+    log = spark.createDataFrame(
+        [(1, 1, 5, None, None, 0, "a|||-||b", None), (1, 2, 6, None, 2, 0, None, None)],
+        "stmt_id long, seq int, query_id long, n_terminal long, n_nonterminal long, is_syntax_error int, semantic_tree string, depth long",
+    )
+    for merged in (traces.merge_traces(log), traces.merge_trace_counters(log), TREE.statement_features(log, "expert")):
+        row = merged.first()
+        assert (row.n_terminal, row.n_nonterminal, row.depth, row.n_parser_invoc) == (0, 2, 0, 2)
+
+
+def test_stream_merges_across_borders(spark, tmp_path):
+    """Two runs over one folder: a statement crosses the hour, one is finished by the flush, a null key is one too."""
+    columns = "stmt_id long, seq int, query_id long, n_terminal long, n_nonterminal long, is_syntax_error int, semantic_tree string, depth long, ts timestamp"
+
+    def arrive(rows):
+        made = [(k, n, n, 1, 1, 0, f"n{n}|||-||{n}>1: ", 1, datetime.fromisoformat(at)) for k, n, at in rows]
+        spark.createDataFrame(made, columns).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    def run(flush):
+        found = logs.stream_merge_invocations(spark.readStream.schema(columns).parquet(f"{tmp_path}/in"), f"{tmp_path}/work", flush=flush)
+        return sorted((str(r.stmt_id), r.n_parser_invoc, r.semantic_tree) for r in found.collect())
+
+    arrive([(1, 1, "2024-01-01 09:50:00"), (1, 2, "2024-01-01 10:20:00"), (None, 3, "2024-01-01 10:00:00"), (2, 4, "2024-01-01 13:00:00")])
+    first = [("1", 2, "n1|n2|||-||1>1: 2>1: "), ("None", 1, "n3|||-||3>1: ")]
+    assert run(False) == first
+    arrive([(2, 5, "2024-01-01 13:59:00"), (2, 6, "2024-01-01 14:10:00")])
+    assert run(False) == first
+    assert run(True) == sorted([*first, ("2", 3, "n4|n5|n6|||-||4>1: 5>1: 6>1: ")])
