@@ -23,6 +23,12 @@ def has_two_parts(tree: Column) -> Column:
     return F.size(tree_parts(tree)) == 2
 
 
+def open_ended(tree: Column) -> Column:
+    """A tree of two parts whose last node is not closed by ``|``."""
+    ends = tree_parts(tree)[0]
+    return has_two_parts(tree) & (ends != "") & ~ends.endswith("|")
+
+
 def node_strings(tree: Column) -> Column:
     """Texts of the non-blank nodes; a missing tree has none."""
     text = F.substring_index(F.coalesce(tree, F.lit("")), registry.TREE_SEPARATOR, 1)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from querysentry import registry
 from querysentry.functions import tree as T
 from querysentry.functions.text import keyword_count
-from querysentry.session import broadcast_if_small
+from querysentry.operators.traces import merge_traces
+from querysentry.session import broadcast_if_small, join_groups
 
 TREE = "semantic_tree"
 
@@ -122,9 +123,26 @@ def trace_features(traces: DataFrame, mode: str, words=None, unescape: bool = Fa
     return vectorize_symbkinds(featured) if mode == "ruleid" else featured
 
 
-def statement_features(log: DataFrame, mode: str, key: str = "stmt_id", words=None) -> DataFrame:
+def statement_features(log: DataFrame, mode: str, key: str = "stmt_id", words=None, order: str = "seq") -> DataFrame:
     """Features per statement straight from the log, without joining tree texts.
 
+    Equal to the features of the merged traces. Where node texts lack the closing ``|``,
+    the last node of one invocation and the first of the next run into each other when
+    they are joined. One look at the ends of the texts tells whether there are such
+    statements; only those are merged by ``order`` first.
+    """
+    seams = log.filter(T.open_ended(F.col(TREE))).select(key)
+    if seams.isEmpty():
+        return _summed_features(log, mode, key, words)
+    seams = broadcast_if_small(seams.distinct())
+    summed = _summed_features(join_groups(log, seams, [key], "left_anti"), mode, key, words)
+    merged = merge_traces(join_groups(log, seams, [key], "left_semi"), key, order)
+    return summed.unionByName(trace_features(merged, mode, words).select(*summed.columns))
+
+
+def _summed_features(log: DataFrame, mode: str, key: str, words) -> DataFrame:
+    """Features per statement whose node texts are closed.
+
     Every feature of a merged tree is a sum, maximum or minimum over its nodes,
     so each invocation is reduced to numbers where it is read, and one
     aggregation with map-side combining finishes the statement. A statement that

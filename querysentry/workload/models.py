@@ -153,14 +153,14 @@ def _names(width: int) -> list[str]:
 @query("fit_autoencoder")
 def fit_autoencoder(spark, sf_dir):
     """Trained on all vectors, applied to the ones with planted outliers."""
-    model = AE.fit_autoencoder(vectors(spark, sf_dir), "ae", _names(64), "sigmoid", rate=0.01, epochs=5, batch=64)
+    model = AE.fit_autoencoder(vectors(spark, sf_dir), "ae", _names(64), "sigmoid", rate=0.01, synchronous=True)
     return AE.score_autoencoder(planted(spark, sf_dir), model).select("row_id", "label", "score")
 
 
 @query("fit_autoencoder_tanh")
 def fit_autoencoder_tanh(spark, sf_dir):
     """Embedding vectors in -1..1, unscaled, tanh head."""
-    model = AE.fit_autoencoder(vectors(spark, sf_dir), "ae", _names(64), "tanh", False, rate=0.01, epochs=5, batch=64)
+    model = AE.fit_autoencoder(vectors(spark, sf_dir), "ae", _names(64), "tanh", False, rate=0.01, synchronous=True)
     return AE.score_autoencoder(planted(spark, sf_dir), model).select("row_id", "label", "score")
 
 
@@ -169,14 +169,14 @@ def fit_lexical_autoencoder(spark, sf_dir):
     from querysentry.operators.lexical import lexical_features
 
     df = texts(spark, sf_dir)
-    model = AE.fit_lexical_autoencoder(df, epochs=3, batch=256)
+    model = AE.fit_lexical_autoencoder(df, rate=0.01, synchronous=True)
     scored = S.assemble(lexical_features(df), registry.LEXICAL, ["row_id"])
     return AE.score_autoencoder(scored, model)
 
 
 @query("fit_one_class_svm")
 def fit_one_class_svm(spark, sf_dir):
-    model = OC.fit_one_class_svm(vectors(spark, sf_dir), "svm", _names(64), rounds=5, size=256)
+    model = OC.fit_one_class_svm(vectors(spark, sf_dir), "svm", _names(64))
     return OC.score_one_class_svm(planted(spark, sf_dir), model).select("row_id", "label", "score")
 
 

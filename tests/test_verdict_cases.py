@@ -146,3 +146,22 @@ def test_stream_merges_across_borders(spark, tmp_path):
     arrive([(2, 5, "2024-01-01 13:59:00"), (2, 6, "2024-01-01 14:10:00")])
     assert run(False) == first
     assert run(True) == sorted([*first, ("2", 3, "n4|n5|n6|||-||4>1: 5>1: 6>1: ")])
+
+
+def test_features_of_open_node_texts_equal_the_merged_form(spark):
+    """Without a closing sign two nodes run into each other where texts are joined; keys may be null."""
+    node = "1:840:1:create:db:select"
+    trees = {
+        1: [f"{node}||-||1>2: ", f"{node}|{node}|||-||1>2: ", f"{node}||-||"],
+        2: [f"{node}|||-||1>2: ", f"{node}|||-||"],
+        3: [f"{node}||-||"],
+        None: [f"{node}||-||", "no tree", f"|||-||", f"{node}|||-||"],
+    }
+    rows = [(k, i, f"q{k}", 1, 2, 0, 3, t) for k, ts in trees.items() for i, t in enumerate(ts)]
+    log = spark.createDataFrame(
+        rows, "stmt_id long, seq long, query_id string, n_terminal long, n_nonterminal long, is_syntax_error int, depth long, semantic_tree string"
+    )
+    for mode in ("expert", "claude"):
+        direct = TREE.statement_features(log, mode)
+        merged = TREE.trace_features(traces.merge_traces(log), mode).select(*direct.columns)
+        assert sorted(map(str, direct.collect())) == sorted(map(str, merged.collect()))
