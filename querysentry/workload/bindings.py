@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 STATEMENTS = """
 SELECT d.doc_id AS row_id, d.text AS full_query, COALESCE(l.toxic, 0) AS label,
-       CASE d.doc_id % 8 WHEN 5 THEN SUBSTR(d.text, 31, 20) WHEN 6 THEN SUBSTR(d.text, 5, 10) || chr(9) || chr(10)
+       CASE CASE WHEN LENGTH(d.text) > 60 THEN d.doc_id % 8 ELSE 0 END WHEN 5 THEN SUBSTR(d.text, 31, 20) WHEN 6 THEN SUBSTR(d.text, 5, 10) || chr(9) || chr(10)
             WHEN 7 THEN SUBSTR(d.text, 1, 10) || '#absent#' ELSE SUBSTR(d.text, 1, 20) END AS user_inputs, d.source AS query_template_id, d.lang AS statement_type,
        CASE WHEN COALESCE(l.toxic, 0) = 1 THEN CONCAT('t', CAST(d.doc_id % 7 AS VARCHAR)) END AS attack_technique,
        CASE WHEN (d.doc_id * 2654435761 + 7) % 1000 < 600 THEN 'train'
@@ -36,14 +36,15 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("doc_id")
     share = (key % 1_000_000 * 2654435761 + 7) % 1000
     toxic = F.coalesce(F.col("toxic"), F.lit(0))
+    long = F.length("text") > 60
     return documents.join(labels, "doc_id", "left").select(
         key.alias("row_id"),
         F.col("text").alias("full_query"),
         toxic.alias("label"),
         # Most inputs begin their statement; others are inside, end in white space or are not there.
-        F.when(key % 8 == 5, F.substring("text", 31, 20))
-        .when(key % 8 == 6, F.concat(F.substring("text", 5, 10), F.lit("\t\n")))
-        .when(key % 8 == 7, F.concat(F.substring("text", 1, 10), F.lit("#absent#")))
+        F.when(long & (key % 8 == 5), F.substring("text", 31, 20))
+        .when(long & (key % 8 == 6), F.concat(F.substring("text", 5, 10), F.lit("\t\n")))
+        .when(long & (key % 8 == 7), F.concat(F.substring("text", 1, 10), F.lit("#absent#")))
         .otherwise(F.substring("text", 1, 20))
         .alias("user_inputs"),
         F.col("source").alias("query_template_id"),

@@ -312,10 +312,29 @@ def trace_features(spark, sf_dir):
     return featured.drop("query_id", "semantic_tree", "symbkinds")
 
 
-@query("trace_features_mistral", _features_sql("mistral"))
-def trace_features_mistral(spark, sf_dir):
-    featured = TREE.trace_features(TR.merge_traces(trace_log(spark, sf_dir, "mistral")), "mistral")
-    return featured.drop("query_id", "semantic_tree", "symbkinds")
+def _register_vocabulary(vocabulary: str) -> None:
+    @query(f"trace_features_{vocabulary}", _features_sql(vocabulary))
+    def trace_features_of(spark, sf_dir):
+        featured = TREE.trace_features(TR.merge_traces(trace_log(spark, sf_dir, vocabulary)), vocabulary)
+        return featured.drop("query_id", "semantic_tree", "symbkinds")
+
+
+for _vocabulary in registry.VOCABULARIES:
+    if _vocabulary != "expert":
+        _register_vocabulary(_vocabulary)
+
+
+@query(
+    "trace_features_ruleid",
+    f"""WITH f AS ({_features_sql("expert")}), s AS (SELECT stmt_id, COUNT(*) AS kinds, SUM(n) AS nodes FROM ({_KINDS}) GROUP BY stmt_id)
+SELECT f.*, CAST(COALESCE(kinds, 0) AS INT) AS n_kinds, CAST(COALESCE(nodes, 0) AS INT) AS n_rule_nodes FROM f LEFT JOIN s ON s.stmt_id = f.stmt_id""",
+)
+def trace_features_ruleid(spark, sf_dir):
+    """The sparse rule counts come along; here their number and sum are shown."""
+    featured = TREE.trace_features(TR.merge_traces(trace_log(spark, sf_dir)), "ruleid")
+    total = F.aggregate(F.map_values("kind_counts"), F.lit(0), lambda acc, n: acc + n)
+    shown = featured.withColumns({"n_kinds": F.size("kind_counts"), "n_rule_nodes": total})
+    return shown.drop("query_id", "semantic_tree", "symbkinds", "kind_counts")
 
 
 def _mode_sql(mode: str) -> str:
