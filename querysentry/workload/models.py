@@ -224,11 +224,11 @@ def score_lof(spark, sf_dir):
 
 @query("evaluate_grid")
 def evaluate_grid(spark, sf_dir):
-    """Two classifiers on the statement features, and one on the rule counts."""
+    """Two classifiers on the statement features of all vocabularies, and one on the rule counts."""
 
     def features(mode):
-        log = invocations(spark, sf_dir)
-        rows = TREE.statement_features(log, registry.vocabulary_of(mode), "stmt_id")
+        log = invocations(spark, sf_dir, registry.vocabulary_of(mode))
+        rows = TREE.statement_features(log, mode, "stmt_id")
         if mode == "ruleid":
             kinds = TREE.statement_kind_counts(log).groupBy("stmt_id").agg(
                 F.map_from_entries(F.collect_list(F.struct("kind", "n"))).alias("kind_counts")
@@ -248,13 +248,12 @@ def evaluate_grid(spark, sf_dir):
         return joined.withColumnRenamed("stmt_id", "row_id")
 
     def ae(train, rows, mode):
-        width = len(registry.feature_order(mode))
-        model = AE.fit_autoencoder(train, f"ae-{mode}", registry.feature_order(mode)[:width], epochs=2)
+        model = AE.fit_autoencoder(train, f"ae-{mode}", registry.feature_order(mode), epochs=2)
         return AE.score_autoencoder(rows, model).select("row_id", "score")
 
     def svm(train, rows, mode):
         model = OC.fit_one_class_svm(train, f"svm-{mode}", registry.feature_order(mode), rounds=2, size=128)
         return OC.score_one_class_svm(rows, model).select("row_id", "score")
 
-    report, _ = E.evaluate_grid(features, {"ae": ae, "svm": svm, "ae_ruleid": ae}, ["expert"])
+    report, _ = E.evaluate_grid(features, {"ae": ae, "svm": svm, "ae_ruleid": ae}, registry.VOCABULARIES)
     return report.drop("recall_by_technique", "recall_by_statement_type")
