@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from querysentry.llm import chat, decontaminate, id_files, line_rules, packing, pii, quality_ftrl, simhash, token_counts, toxicity
+from querysentry.llm import chat, decontaminate, id_files, line_rules, near_copies, packing, pii, quality_ftrl, simhash, token_counts, toxicity
 from querysentry.llm.components import connected_components
 from querysentry.llm.queries import model_path
 
@@ -287,6 +287,41 @@ def test_line_rules(spark, docs, empty):
     assert line_rules.keep_clean(docs).columns == docs.columns
 
 
+def brute_shingles(text, words=5):
+    found = re.findall(r"[^ \t-\r]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text))
+    return {tuple(found[k : k + words]) for k in range(max(1, len(found) - words + 1))} if found else set()
+
+
+@pytest.mark.parametrize("bounds", [{}, {"max_sets": 2}, {"max_shingles": 100}])
+def test_near_copies(spark, docs, empty, bounds):
+    """Near copies at 0.8 and above become one; a repeated key loses no text."""
+    import corpus_pipeline
+
+    rnd = np.random.default_rng(3)
+    rows, vocabulary = [], [f"w{k}" for k in range(3000)]
+    for doc in range(12):
+        words = rnd.choice(vocabulary, 120).tolist()
+        for copy in range(5):
+            changed = list(words)
+            for at in rnd.choice(120, copy, replace=False):
+                changed[at] = "changed"
+            rows.append((1000 + 10 * doc + copy, " ".join(changed), "en", None, None, 1, "s"))
+    rows += [(500, "one text under this key", "en", None, None, 1, "s"), (500, "quite another text under the same key", "en", None, None, 1, "s")]
+    both = docs.union(spark.createDataFrame(rows, SCHEMA))
+    pairs = [(i if i is not None else 1 << 40, t) for i, t in texts_of(both)]
+    sets, root = [brute_shingles(t) for _, t in pairs], list(range(len(pairs)))
+    for a, b in itertools.combinations(range(len(pairs)), 2):
+        if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            old, new = root[b], root[a]
+            root = [new if r == old else r for r in root]
+    expected = Counter(min(p[0] for p, r in zip(pairs, root) if r == c) for c in set(root))
+    got = Counter(r.doc_id if r.doc_id is not None else 1 << 40 for r in near_copies.keep_first(both, **bounds).collect())
+    assert got == expected and got[500] == 2
+    if not bounds:
+        staged = Counter(r.doc_id if r.doc_id is not None else 1 << 40 for r in corpus_pipeline.near_duplicates(spark, both, "").collect())
+        assert staged == expected and near_copies.keep_first(empty).count() == 0
+
+
 def test_differencing():
     rnd = np.random.default_rng(1)
     for n in (0, 1, 2, 7, 60, 900):
