@@ -6,7 +6,8 @@ Windows of ``window`` template words with enough literal words are hash-joined b
 benchmark and documents. Matching windows of a document and an item that lie on one
 alignment are chained, and their slots are checked: the same value of the item must stand
 for the same value in the document throughout, so a question whose numbers were changed
-is still caught, while chance matches of a frame with inconsistent fillings are not.
+is still caught, while chance matches of a frame with inconsistent fillings are not. An
+alignment whose unchanged windows suffice is a match whatever its changed ones say.
 
 The benchmark's windows are sent to the executors if they are few (counted first, at most
 ``MAX_SENT`` of 8 bytes); then documents' windows that match nothing leave no row. Above
@@ -267,7 +268,9 @@ def contaminated(
         F.col("doc_id").alias("item_id"), F.col("place").alias("item_place"), "hash", "size", F.col("slots").alias("item_slots"),
         F.col("n_words").alias("item_words"),
     )
-    needed = known.groupBy(F.col("doc_id").alias("item_id")).agg(F.least(F.lit(min_windows), F.count(F.lit(1))).alias("needed"))
+    needed = known.groupBy(F.col("doc_id").alias("item_id")).agg(
+        F.least(F.lit(min_windows), F.count(F.lit(1))).alias("needed"), F.count(F.lit(1)).alias("item_windows")
+    )
     # Chains: windows of one document and item on one alignment. A document's rows are its
     # matching windows only, so a chain is no longer than the item.
     met = rows.join(sides, ["hash", "size"]).withColumn("shift", F.col("place") - F.col("item_place"))
@@ -282,12 +285,16 @@ def contaminated(
     def consistent(changed: pd.Series) -> pd.Series:
         return pd.Series([int(_consistent(pairs)) for pairs in changed], dtype="int32")
 
-    kept = chains.withColumn("consistent", consistent("changed")).filter("consistent = 1")
-    pairs = kept.groupBy("doc_id", "item_id").agg(
+    # Windows that are as in the item need no check: they make a match if they are half of
+    # the item's, or twice as many as are needed. A few literal words between slots don't.
+    unchanged = F.col("n_windows") - F.coalesce("n_changed", F.lit(0))
+    verbatim = (unchanged >= F.col("needed")) & ((2 * unchanged >= F.col("item_windows")) | (unchanged >= 2 * F.col("needed")))
+    judged = chains.join(F.broadcast(needed) if total <= max_sent else needed, "item_id")
+    kept = judged.withColumn("consistent", consistent("changed")).filter((F.col("consistent") == 1) | verbatim)
+    return kept.groupBy("doc_id", "item_id").agg(
         F.sum("n_windows").alias("n_windows"), F.sum("n_changed").alias("n_changed"), F.max("item_words").alias("item_words"),
-        F.max("size").alias("size"), F.max("n_windows").alias("longest"),
-    )
-    return pairs.join(F.broadcast(needed) if total <= max_sent else needed, "item_id").filter("longest >= needed").select(
+        F.max("size").alias("size"), F.max("n_windows").alias("longest"), F.max("needed").alias("needed"),
+    ).filter("longest >= needed").select(
         "doc_id", "item_id", "n_windows", F.coalesce("n_changed", F.lit(0)).cast("bigint").alias("n_changed"),
         F.least(F.lit(1.0), (F.col("longest") + F.col("size") - 1) / F.col("item_words")).alias("coverage"),
     )

@@ -382,6 +382,16 @@ def test_decontamination(spark, docs, empty, max_sent):
         assert decontaminate.contaminated(empty, bench).count() == 0 and decontaminate.contaminated(both, bench.limit(0)).count() == 0
 
 
+def test_decontamination_edited_number(spark):
+    """One edited number does not hide a passage that is copied word for word."""
+    words = [f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(200)]
+    words[100:105] = "12 apples and 12 pears".split()
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    edited = [*words[:103], "15", *words[104:]]
+    docs = spark.createDataFrame([(5, " ".join(edited), None, None, None, None, None)], SCHEMA)
+    assert [(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()] == [(5, 1)]
+
+
 def test_pipeline(spark, sf_dir):
     """Every stage keeps exactly what brute force keeps; the windows hold the masked texts."""
     import corpus_pipeline
