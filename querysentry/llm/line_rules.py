@@ -39,6 +39,8 @@ MAX_MARK_SHARE = 0.12
 MAX_DIGIT_SHARE = 0.5
 #: ... or this share of words equal to the word before them.
 MAX_STUTTER_SHARE = 0.35
+#: ... or if sentences with a phrase of boilerplate, up to so many bytes around it, have this share of its visible bytes.
+MIN_PHRASE_SHARE, PHRASE_REACH = 0.5, 100
 #: A document is rejected if it loses more than this share of its words.
 MAX_LOSS = 0.4
 
@@ -109,7 +111,7 @@ def judge(column: pa.Array) -> dict[str, np.ndarray]:
     stutter = np.concatenate([np.zeros(min(1, len(hashes)), bool), (hashes[1:] == hashes[:-1]) & (rows[1:] == rows[:-1])])
     stutters = _between(stutter, np.searchsorted(starts, begins), np.searchsorted(starts, stops))
     bad |= (stutters > MAX_STUTTER_SHARE * n_line_words) & (n_line_words > 3)
-    bad[_lines_with(BOILERPLATE, T.LOWER[data].tobytes(), begins, stops)] = True
+    bad |= _phrase_bytes(data, visible, begins, stops) >= MIN_PHRASE_SHARE * size
     bad &= filled
 
     lost = np.bincount(line_rows, weights=n_line_words * bad, minlength=n).astype(np.int64)
@@ -130,8 +132,23 @@ def judge(column: pa.Array) -> dict[str, np.ndarray]:
     }
 
 
-def _lines_with(phrases: tuple, lowered: bytes, begins: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """Places of the lines that hold one of the phrases wholly."""
+def _phrase_bytes(data: np.ndarray, visible: np.ndarray, begins: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """How many visible bytes of each line are in sentences that hold a phrase of boilerplate."""
+    found = _phrases(BOILERPLATE, T.LOWER[data].tobytes(), begins, stops)
+    inside = np.zeros(len(data) + 1, np.int64)
+    if found:
+        closing = np.flatnonzero(T.table_of(".!?")[data[:-1]] & T.SPACE[data[1:]]) + 1
+        for line, at, end in found:
+            k = int(np.searchsorted(closing, at, side="right"))
+            low = max(begins[line], at - PHRASE_REACH, closing[k - 1] if k else 0)
+            k = int(np.searchsorted(closing, end))
+            inside[low] += 1
+            inside[min(stops[line], end + PHRASE_REACH, closing[k] if k < len(closing) else len(data))] -= 1
+    return _between((np.cumsum(inside[:-1]) > 0) & visible, begins, stops)
+
+
+def _phrases(phrases: tuple, lowered: bytes, begins: np.ndarray, stops: np.ndarray) -> list[tuple[int, int, int]]:
+    """(line, start, end) of every phrase that a line holds wholly."""
     found = []
     for phrase in phrases:
         sought = phrase.encode()
@@ -141,9 +158,9 @@ def _lines_with(phrases: tuple, lowered: bytes, begins: np.ndarray, stops: np.nd
             while line < len(begins) and begins[line] > at and line > 0 and stops[line - 1] >= at + len(sought):
                 line -= 1
             if line < len(begins) and begins[line] <= at and at + len(sought) <= stops[line]:
-                found.append(line)
+                found.append((line, at, at + len(sought)))
             at = lowered.find(sought, at + 1)
-    return np.array(found, np.int64)
+    return found
 
 
 def line_quality(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -287,6 +287,16 @@ def test_line_rules(spark, docs, empty):
     assert line_rules.keep_clean(docs).columns == docs.columns
 
 
+def test_boilerplate_share():
+    """A phrase fails the lines that consist mainly of it, not a long line that mentions it."""
+    words = [f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(600)]
+    article = " ".join(" ".join(words[k : k + 6]) + "." for k in range(0, 600, 6))
+    texts = [article + " Read the privacy policy first. " + article[::-1], article.replace(".", "") + " click here " + article[::-1].replace(".", ""),
+             PROSE + "\nPlease read our privacy policy.", "All rights reserved. Click here now."]
+    found = line_rules.judge(pa.array(texts))
+    assert found["n_bad_lines"].tolist() == [0, 0, 1, 1] and found["n_lost_words"][0] == 0 and found["kept"][0]
+
+
 def brute_shingles(text, words=5):
     found = re.findall(r"[^ \t-\r]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text))
     return {tuple(found[k : k + words]) for k in range(max(1, len(found) - words + 1))} if found else set()
