@@ -1,7 +1,7 @@
 """Quality rules, lines first: drop failing lines, then documents that lose too much text.
 
-Every line is judged by itself (symbols, shouting, table or menu layout, boilerplate,
-repeats of an earlier line). The cleaned text is what the passing lines hold. A document
+Every line is judged (symbols, shouting, table layout, menus and runs of lines without end
+punctuation, boilerplate, repeats of an earlier line). The cleaned text is what the passing lines hold. A document
 is kept if it passes the base rules (enough words, few repeated five-word windows) and
 its cleaned text still has most of its words.
 
@@ -41,6 +41,16 @@ MAX_DIGIT_SHARE = 0.5
 MAX_STUTTER_SHARE = 0.35
 #: ... or if sentences with a phrase of boilerplate, up to so many bytes around it, have this share of its visible bytes.
 MIN_PHRASE_SHARE, PHRASE_REACH = 0.5, 100
+#: Menus: lines of at most so many words in so long a run, without a mark at the end ...
+MAX_MENU_WORDS, MIN_MENU_RUN = 3, 5
+#: ... or a line with so many separators that are not at its start, between parts of so many words on average.
+MIN_SEPARATORS, MAX_PART_WORDS = 2, 3
+SEPARATORS = ("·", "•", "»", "›", "‣", " | ", " / ")
+#: End punctuation: lines of at most so many words that begin with a capital, in so long a run without a mark at the end or a blank line.
+MAX_OPEN_WORDS, MIN_OPEN_RUN = 8, 8
+#: What may end a line of prose or verse, and what may begin a list's item besides a digit.
+END_MARKS = (".", "!", "?", ":", ";", ",", '"', "'", ")", "-", "…", "”", "’", "»", "—", "–", "。", "！", "？", "、", "，", "।", "؟", "۔")
+LIST_MARKS = ("- ", "* ", "+ ", "•", "·", "‣", "–", "—")
 #: A document is rejected if it loses more than this share of its words.
 MAX_LOSS = 0.4
 
@@ -112,6 +122,7 @@ def judge(column: pa.Array) -> dict[str, np.ndarray]:
     stutters = _between(stutter, np.searchsorted(starts, begins), np.searchsorted(starts, stops))
     bad |= (stutters > MAX_STUTTER_SHARE * n_line_words) & (n_line_words > 3)
     bad |= _phrase_bytes(data, visible, begins, stops) >= MIN_PHRASE_SHARE * size
+    bad |= _navigation(data, visible, begins, stops, line_rows, n_line_words, filled)
     bad &= filled
 
     lost = np.bincount(line_rows, weights=n_line_words * bad, minlength=n).astype(np.int64)
@@ -132,6 +143,65 @@ def judge(column: pa.Array) -> dict[str, np.ndarray]:
     }
 
 
+def _long_runs(member: np.ndarray, breaks: np.ndarray, least: int) -> np.ndarray:
+    """True for members in runs of at least so many; a run ends at non-members and before ``breaks``."""
+    made = np.zeros(len(member), bool)
+    if not len(member):
+        return made
+    new = breaks.copy()
+    new[0] = True
+    new[1:] |= member[1:] != member[:-1]
+    run = np.cumsum(new) - 1
+    return member & (np.bincount(run)[run] >= least)
+
+
+def _navigation(data, visible, begins, stops, line_rows, n_line_words, filled) -> np.ndarray:
+    """True for lines of menus: runs of short lines without a mark at the end, and parts between separators.
+
+    Items of lists stay: those with a mark or number before them, and runs that a line ending in ":" introduces.
+    """
+    made = np.zeros(len(begins), bool)
+    raw = data.tobytes()
+    seen = np.flatnonzero(visible)
+    own = np.flatnonzero(filled)
+    # First and last visible byte of the lines that have any.
+    first, last = seen[np.searchsorted(seen, begins[own])], seen[np.searchsorted(seen, stops[own]) - 1]
+    words, rows = n_line_words[own], line_rows[own]
+    short = np.flatnonzero(words <= MAX_OPEN_WORDS)
+    open_end, item = np.zeros(len(own), bool), np.zeros(len(own), bool)
+    ends, marks = tuple(m.encode() for m in END_MARKS), tuple(m.encode() for m in LIST_MARKS)
+    for k in short.tolist():
+        line = raw[first[k] : last[k] + 1]
+        open_end[k] = not line.endswith(ends)
+        item[k] = line.startswith(marks) or 48 <= line[0] <= 57
+    start = np.ones(len(own), bool)
+    start[1:] = rows[1:] != rows[:-1]
+    plain = open_end & ~item
+    introduced = np.zeros(len(own), bool)
+    introduced[1:] = (data[last[:-1]] == ord(":")) & ~start[1:]
+    # All that follows an introduced line within its run of open lines is part of the list.
+    block = np.cumsum(start | introduced | ~plain)
+    listed = plain & np.isin(block, block[introduced & plain])
+    plain &= ~listed
+    made[own] = _long_runs(plain & (words <= MAX_MENU_WORDS), start, MIN_MENU_RUN)
+    gap = start.copy()
+    gap[1:] |= np.diff(own) > 1
+    capital = (data[first] >= 65) & (data[first] <= 90)
+    made[own] |= _long_runs(plain & capital, gap, MIN_OPEN_RUN)
+    separators = np.zeros(len(begins), np.int64)
+    for mark in SEPARATORS:
+        sought, at = mark.encode(), -1
+        while (at := raw.find(sought, at + 1)) >= 0:
+            line = int(np.searchsorted(stops, at, side="right"))
+            separators[line] += raw[begins[line] : at].strip() != b""
+    lined = np.flatnonzero(separators >= MIN_SEPARATORS)
+    for line in lined.tolist():
+        text = raw[begins[line] : stops[line]].strip()
+        count = sum(w not in {m.strip().encode() for m in SEPARATORS} for w in text.split())
+        made[line] |= count <= MAX_PART_WORDS * (separators[line] + 1) and not text.endswith(ends)
+    return made
+
+
 def _phrase_bytes(data: np.ndarray, visible: np.ndarray, begins: np.ndarray, stops: np.ndarray) -> np.ndarray:
     """How many visible bytes of each line are in sentences that hold a phrase of boilerplate."""
     found = _phrases(BOILERPLATE, T.LOWER[data].tobytes(), begins, stops)

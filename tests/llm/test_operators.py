@@ -297,6 +297,23 @@ def test_boilerplate_share():
     assert found["n_bad_lines"].tolist() == [0, 0, 1, 1] and found["n_lost_words"][0] == 0 and found["kept"][0]
 
 
+@pytest.mark.parametrize(
+    "text, bad",
+    [
+        ("\n".join(["Home", "About us", "Log in", "Contact", "News", "Our team", "Shop", "Help"]), 8),
+        ("Home · News · Contact\n" + PROSE, 1), (PROSE + "\nStart • About us • Log in • Cart", 1),
+        ("\n".join(f"Ten ways to cook {w} at home" for w in "rice beans corn kale fish eggs soup stew".split()), 8),
+        ("A heading\n\n" + PROSE + "\n\nAnother Heading\n\n" + PROSE[4:], 0),
+        ("You need:\nflour\nmilk\neggs\nsugar\nsalt\nbutter\n" + PROSE, 0), ("\n".join(f"- thing {c}" for c in "abcdefgh"), 0),
+        ("\n".join(["Tyger Tyger, burning bright,", "In the forests of the night;", "What immortal hand or eye,", "Could frame thy fearful symmetry?"]), 0),
+        ("\n".join(f"The {w} is in the wood tonight" for w in "owl elk fox jay".split()) + "\n\n" + "\n".join(f"And {w} falls upon the hill" for w in "snow rain hail dust".split()), 0),
+        (PROSE + "Sales · and · marketing are words in a long sentence that goes on for quite some time.", 0),
+    ],
+)
+def test_navigation(text, bad):
+    assert line_rules.judge(pa.array([PROSE, text, ""]))["n_bad_lines"].tolist() == [0, bad, 0]
+
+
 def brute_shingles(text, words=5):
     found = re.findall(r"[^ \t-\r]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text))
     return {tuple(found[k : k + words]) for k in range(max(1, len(found) - words + 1))} if found else set()
