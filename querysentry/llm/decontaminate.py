@@ -13,8 +13,12 @@ The benchmark's windows are sent to the executors if they are few (counted first
 ``MAX_SENT`` of 8 bytes); then documents' windows that match nothing leave no row. Above
 that the documents' windows are hashed and joined by a shuffle.
 
-Defined cases: null or short texts have no windows; items shorter than a window are
-matched by one window of their own length, from ``SHORT`` words on, and never below;
+Beside them windows of plain lower-case words are joined, so that verbatim copies match
+whatever their numbers, names, units and letter case.
+
+Defined cases: null and blank texts have no windows; items shorter than a window are
+matched by one window of their own length, from ``SHORT`` words on also as a template, and
+below ``WHOLE`` words only where they are the whole document;
 repeated documents and items give a row each; rows without a key are never matched; an
 empty table on either side gives an empty table; other columns are not read.
 """
@@ -38,6 +42,8 @@ LITERAL = 5
 #: Windows on one alignment that make a match (or all windows of a shorter item).
 MIN_WINDOWS = 4
 SHORT = 6
+#: Items below this many words match only texts that have no other words.
+WHOLE = 3
 #: Window hashes of the benchmark that are sent to executors, at most: 8 bytes each.
 MAX_SENT = 4_000_000
 
@@ -53,7 +59,9 @@ _UNITS = frozenset(
     "seconds second minutes minute hours hour days day weeks week months month years year dollars dollar euros euro cents "
     "percent degrees degree usd eur gbp".split()
 )
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: A line feed is a word of its own, as it may begin a sentence.
+_WORD = re.compile(r"[^\x20\x09-\x0D]+|\n")
+_ENDS, _OPENS = ".!?:\n", "\"'“„«‘‚‹»"
 _CORE = re.compile(r"\w(?:.*\w)?", re.DOTALL)
 _DIGITS = re.compile(r"[$€£]?[+-]?\d[\d.,:/]*%?(?:st|nd|rd|th)?")
 _DIGIT_UNIT = re.compile(r"([+-]?\d[\d.,]*)([a-z%°]+)")
@@ -68,7 +76,7 @@ def canonical(text: str) -> tuple[list[str], list[str]]:
         raw = m[0]
         core = _CORE.search(raw)
         if core is None:
-            begins = begins or raw[-1] in ".!?:"
+            begins = begins or raw[-1] in _ENDS or raw[0] in _OPENS
             continue
         word = core[0].lower()
         if _DIGITS.fullmatch(word) or word in _NUMBERS:
@@ -79,13 +87,13 @@ def canonical(text: str) -> tuple[list[str], list[str]]:
             template.append(NUMBER)
             values.append(joint[1])
             kind, word = UNIT, joint[2]
-        elif not begins and core[0][0].isupper() and not core[0].isupper():
+        elif not begins and raw[0] not in _OPENS and core[0][0].isupper() and not core[0].isupper():
             kind = NAME
         else:
             kind = word
         template.append(kind)
         values.append(word)
-        begins = raw[-1] in ".!?:"
+        begins = raw[-1] in _ENDS
     return template, values
 
 
@@ -132,10 +140,14 @@ class Templates:
                 kind = self.NUMBER_WORD if template[1] == NUMBER else self.UNIT_WORD if unit else self.LITERAL_WORD
         self.places[raw] = at
         self.values.append(value)
-        self.kinds[at], self.hashes[at], self.ends[at] = kind, _hash(value), raw[-1] in ".!?:"
+        self.kinds[at], self.hashes[at], self.ends[at] = kind, _hash(value), raw[-1] in _ENDS or kind == self.MARKS and raw[0] in _OPENS
 
     def template(self, text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """Hashes of the template's words, which of them are slots, and their values."""
+        return self._template(text)[:3]
+
+    def _template(self, text: str) -> tuple:
+        """Hashes of the template's words, which of them are slots, their values, and the plain words' hashes."""
         if len(self.places) > self.MEMORY:
             self._start()
         words = _WORD.findall(text)
@@ -145,7 +157,7 @@ class Templates:
         kinds = self.kinds[at]
         if (kinds == self.JOINT).any():
             template, values = canonical(text)
-            return np.array([_hash(t) for t in template], np.uint64), np.array([t[0] == "\x01" for t in template], bool), values
+            return np.array([_hash(t) for t in template], np.uint64), np.array([t[0] == "\x01" for t in template], bool), values, np.array([_hash(v) for v in values], np.uint64)
         own = np.flatnonzero(kinds != self.MARKS)
         ended = np.concatenate([[0], np.cumsum(self.ends[at])])
         begins = np.ones(len(own), bool)
@@ -156,31 +168,41 @@ class Templates:
         number = kinds == self.NUMBER_WORD
         unit = np.concatenate([np.zeros(min(1, len(own)), bool), (kinds[1:] == self.UNIT_WORD) & number[:-1]])
         name = self.capital[at] & ~begins & ~unit
-        hashes = self.hashes[at].copy()
+        plain = self.hashes[at]
+        hashes = plain.copy()
         for slot, value in zip((number, unit, name), self.special):
             hashes[slot] = value
-        return hashes, number | unit | name, _Values(self.values, at)
+        return hashes, number | unit | name, _Values(self.values, at), plain
 
     def windows(self, text: str, size: int | None = None, whole: bool = False):
-        """Places, hashes, slots and values of the windows that hold enough literal words, and their size.
+        """Places, hashes, slots and values of the windows, which are plain, and their size.
 
-        ``whole`` takes a text shorter than a window as one window, from ``SHORT`` words on.
+        Template windows hold enough literal words; plain windows are any words as they are.
+        ``whole`` takes a text shorter than a window as one window; from ``SHORT`` words on it
+        also is a template, and one below ``WHOLE`` words stands for a whole text.
         """
-        hashes, slots, values = self.template(text)
+        hashes, slots, values, plain = self._template(text)
         size = size or self.size
-        if whole and SHORT <= len(hashes) < size:
+        if whole and 0 < len(hashes) < size:
             size = len(hashes)
         n = len(hashes) - size + 1
-        if n <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64), slots, values, size
-        made = np.full(n, size, np.uint64)
-        with np.errstate(over="ignore"):
-            for k in range(size):
-                made = (made ^ hashes[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-                made ^= made >> np.uint64(32)
+        if n <= 0 or size < WHOLE and len(hashes) > size:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), slots, values, np.zeros(0, bool), size
         before = np.concatenate([[0], np.cumsum(slots)])
-        good = np.flatnonzero(size - (before[size:] - before[:-size]) >= min(self.literal, size - 1))
-        return good, made[good], slots, values, size
+        good = np.flatnonzero(size - (before[size:] - before[:-size]) >= min(self.literal, size - 1)) if size >= SHORT else np.zeros(0, np.int64)
+        made = [_joined(hashes, size, 0)[good], _joined(plain, size, 1)]
+        return np.concatenate([good, np.arange(n)]), np.concatenate(made), slots, values, np.arange(len(good) + n) >= len(good), size
+
+
+def _joined(hashes: np.ndarray, size: int, kind: int) -> np.ndarray:
+    """Hashes of all windows; those of another kind differ."""
+    n = len(hashes) - size + 1
+    made = np.full(n, size + 1000 * kind, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(size):
+            made = (made ^ hashes[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+            made ^= made >> np.uint64(32)
+    return made
 
 
 class _Values:
@@ -206,7 +228,7 @@ def _slot_text(slots: np.ndarray, values, at: int, size: int) -> str:
 
 
 def _window_rows(source: DataFrame, known: np.ndarray | None, sizes: tuple, whole: bool, settings: tuple) -> DataFrame:
-    """(doc_id, place, size, hash, slots, n_words) of windows, only of known hashes if those are given."""
+    """(doc_id, place, size, hash, slots, n_words; null slots are plain windows) of windows, only of known hashes if those are given."""
     size, literal = settings
     sent = source.sparkSession.sparkContext.broadcast(known) if known is not None else None
 
@@ -217,13 +239,13 @@ def _window_rows(source: DataFrame, known: np.ndarray | None, sizes: tuple, whol
             if doc_id is None:
                 continue
             for wanted in sizes:
-                at, hashes, slots, values, own = templates.windows(text, wanted or size, whole)
+                at, hashes, slots, values, plain, own = templates.windows(text, wanted or size, whole)
                 if sent is not None and len(hashes):
                     found = sent.value[np.minimum(np.searchsorted(sent.value, hashes), len(sent.value) - 1)] == hashes
-                    at, hashes = at[found], hashes[found]
+                    at, hashes, plain = at[found], hashes[found], plain[found]
                 made += [
-                    (doc_id, a, own, h, _slot_text(slots, values, a, own), len(values))
-                    for a, h in zip(at.tolist(), hashes.view(np.int64).tolist())
+                    (doc_id, a, own, h, None if p else _slot_text(slots, values, a, own), len(values))
+                    for a, h, p in zip(at.tolist(), hashes.view(np.int64).tolist(), plain.tolist())
                 ]
         names = ["doc_id", "place", "size", "hash", "slots", "n_words"]
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64()]
@@ -268,18 +290,21 @@ def contaminated(
         F.col("doc_id").alias("item_id"), F.col("place").alias("item_place"), "hash", "size", F.col("slots").alias("item_slots"),
         F.col("n_words").alias("item_words"),
     )
-    needed = known.groupBy(F.col("doc_id").alias("item_id")).agg(
-        F.least(F.lit(min_windows), F.count(F.lit(1))).alias("needed"), F.count(F.lit(1)).alias("item_windows")
+    counts = known.groupBy(F.col("doc_id").alias("item_id")).agg(
+        F.count_distinct(F.when(F.col("slots").isNotNull(), F.col("place"))).alias("templates"), F.count_distinct("place").alias("item_windows"),
     )
+    needed = counts.withColumn("needed", F.least(F.lit(min_windows), "item_windows"))
     # Chains: windows of one document and item on one alignment. A document's rows are its
     # matching windows only, so a chain is no longer than the item.
     met = rows.join(sides, ["hash", "size"]).withColumn("shift", F.col("place") - F.col("item_place"))
-    same = F.col("slots") == F.col("item_slots")
+    template, place = F.col("slots").isNotNull(), F.col("place")
+    changed = template & (F.col("slots") != F.col("item_slots"))
     chains = met.groupBy("doc_id", "item_id", "shift").agg(
-        F.count(F.lit(1)).alias("n_windows"), F.sum(F.when(same, 0).otherwise(1)).alias("n_changed"),
+        F.size(F.collect_set(place)).cast("bigint").alias("n_windows"), F.size(F.collect_set(F.when(template, place))).alias("n_template"),
+        F.size(F.collect_set(F.when(~changed | ~template, place))).alias("unchanged"),
         F.max("item_words").alias("item_words"), F.max("size").alias("size"),
-        F.collect_list(F.when(~same, F.struct("item_slots", "slots"))).alias("changed"),
-    )
+        F.collect_list(F.when(changed, F.struct("item_slots", "slots"))).alias("changed"),
+    ).withColumn("n_changed", F.col("n_windows") - F.col("unchanged"))
 
     @F.pandas_udf("int")
     def consistent(changed: pd.Series) -> pd.Series:
@@ -287,14 +312,15 @@ def contaminated(
 
     # Windows that are as in the item need no check: they make a match if they are half of
     # the item's, or twice as many as are needed. A few literal words between slots don't.
-    unchanged = F.col("n_windows") - F.coalesce("n_changed", F.lit(0))
+    unchanged = F.col("unchanged")
     verbatim = (unchanged >= F.col("needed")) & ((2 * unchanged >= F.col("item_windows")) | (unchanged >= 2 * F.col("needed")))
+    filled = (F.col("consistent") == 1) & (F.col("n_template") > 0) & (F.col("n_template") >= F.least(F.lit(min_windows), "templates"))
     judged = chains.join(F.broadcast(needed) if total <= max_sent else needed, "item_id")
-    kept = judged.withColumn("consistent", consistent("changed")).filter((F.col("consistent") == 1) | verbatim)
+    kept = judged.withColumn("consistent", consistent("changed")).withColumn("whole", filled | verbatim).filter((F.col("consistent") == 1) | verbatim)
     return kept.groupBy("doc_id", "item_id").agg(
         F.sum("n_windows").alias("n_windows"), F.sum("n_changed").alias("n_changed"), F.max("item_words").alias("item_words"),
-        F.max("size").alias("size"), F.max("n_windows").alias("longest"), F.max("needed").alias("needed"),
-    ).filter("longest >= needed").select(
+        F.max("size").alias("size"), F.max("n_windows").alias("longest"), F.max("whole").alias("whole"),
+    ).filter("whole").select(
         "doc_id", "item_id", "n_windows", F.coalesce("n_changed", F.lit(0)).cast("bigint").alias("n_changed"),
         F.least(F.lit(1.0), (F.col("longest") + F.col("size") - 1) / F.col("item_words")).alias("coverage"),
     )

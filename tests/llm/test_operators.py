@@ -419,6 +419,18 @@ def test_decontamination_edited_number(spark):
     assert [(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()] == [(5, 1)]
 
 
+def test_decontamination_verbatim(spark):
+    """Copies without enough literal words, short items, and copies in other letter case match."""
+    items = [
+        "12 km + 15 km = 27 km, 3 kg + 4 kg = 7 kg, 8 m + 9 m = 17 m", "Name the old capital", "Paris",
+        "Where did Anna Karenina meet Count Vronsky before Moscow", "Nine old men in Rome saw Bob at Paris near Anna and Tom with Sue in Oslo",
+    ]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [PROSE + items[0], PROSE + items[1], items[2], "A heading\n" + items[3], PROSE + items[4].lower(), PROSE + items[2]]
+    docs = spark.createDataFrame([(10 + k, t, None, None, None, None, None) for k, t in enumerate(texts)], SCHEMA)
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()) == [(10 + k, k) for k in range(5)]
+
+
 def test_pipeline(spark, sf_dir):
     """Every stage keeps exactly what brute force keeps; the windows hold the masked texts."""
     import corpus_pipeline
