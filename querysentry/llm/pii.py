@@ -87,8 +87,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # Letters of other scripts that look like ASCII ones, pairwise.
 _LOOK_ALIKES = dict(
     zip(
-        "АВЕКМНОРСТХаеорсухіјѕԁΑΒΕΖΗΙΚΜΝΟΡΤΥΧοαν＠․。．∙•",
-        "ABEKMHOPCTXaeopcyxijsdABEZHIKMNOPTYXoav@.....",
+        "АВЕКМНОРСТХаеорсухіјѕԁΑΒΕΖΗΙΚΜΝΟΡΤΥΧοανρικτυ＠․。．∙•",
+        "ABEKMHOPCTXaeopcyxijsdABEZHIKMNOPTYXoavpiktu@.....",
     )
 )
 _INVISIBLE = "­​‌‍⁠﻿"
@@ -122,11 +122,24 @@ _TOKEN = re.compile(r"plus|[^\W\d_]+|[0-9]+|[\s,-]+", re.IGNORECASE)
 #: Bracketed signs count anywhere; bare words only between a local part and a domain.
 _BRACKETED = re.compile(rf"\s?{_OPEN}(?:(?P<at>{_AT}|@)|(?P<dot>{_DOT}|\.)){_SHUT}\s?", re.IGNORECASE)
 _BARE = re.compile(
-    rf"(?<![\w@.+-])[a-z0-9._%+-]++(?:\s(?:{_AT})\s|\s?@\s?)[a-z0-9-]+(?:(?:\s(?:{_DOT})\s|\s\.\s)[a-z0-9-]+)+(?![\w-])",
+    rf"(?<![\w@.+-])(?P<local>[a-z0-9._%+-]++)(?:\s(?P<word>{_AT})\s|\s?@\s?)(?P<domain>[a-z0-9-]+(?:(?:\s(?:{_DOT})\s|\s\.\s|\.)[a-z0-9-]+)+)(?![\w-])",
     re.IGNORECASE,
 )
+#: Endings that make a domain of a bare "at" with plain dots.
+_ENDINGS = frozenset("com org net edu gov info biz io co de fr es it uk us eu ch at nl be pl ru cn jp in br mx ca au".split())
+_SPELLED_DOT = re.compile(rf"\s(?:{_DOT}|\.)\s", re.IGNORECASE)
 _BARE_SIGN = re.compile(rf"\s(?:(?P<at>{_AT})|(?P<dot>{_DOT}|\.))\s|\s?(?P<sign>@)\s?", re.IGNORECASE)
-_ODD = re.compile(f"[{''.join(_LOOK_ALIKES)}{_INVISIBLE}！-～\U0001d400-\U0001d7ff]")
+
+
+def _plain_form(c: str) -> str:
+    """A decimal digit as its ASCII digit, any other character in its compatibility form."""
+    digit = unicodedata.decimal(c, None)
+    return str(digit) if digit is not None else unicodedata.normalize("NFKC", c)
+
+
+#: Look-alikes, and all single characters that have an ASCII form or are decimal digits (blanks aside).
+_FORMS = {c: f for c in map(chr, range(0xA0, 0x20000)) if (f := _plain_form(c)).isascii() and f.strip() and " " not in f}
+_ODD = re.compile(f"[{''.join(map(re.escape, {*_LOOK_ALIKES, *_FORMS, *_INVISIBLE}))}]")
 
 
 class Mapped:
@@ -152,7 +165,7 @@ class Mapped:
 def _plain_letter(c: str) -> str:
     if c in _INVISIBLE:
         return ""
-    return _LOOK_ALIKES.get(c) or unicodedata.normalize("NFKC", c)
+    return _LOOK_ALIKES.get(c) or _FORMS[c]
 
 
 def _spelled_edits(text: str):
@@ -184,7 +197,7 @@ def rewrite(text: str) -> Mapped | None:
         edits = [(m.start(), m.end(), _plain_letter(m[0])) for m in _ODD.finditer(text)]
         made, changed = made.rewritten([e for e in edits if text[e[0] : e[1]] != e[2]]), True
     lowered = made.text.lower()
-    if any(name in lowered for name in ("three", "five", "seven", "eight", "nine", "zero", "four", *_OTHER)):
+    if _ANY_NAME.search(lowered):
         edits = list(_spelled_edits(made.text))
         if edits:
             made, changed = made.rewritten(edits), True
@@ -192,15 +205,23 @@ def rewrite(text: str) -> Mapped | None:
         edits = list(_sign_edits(made.text, _BRACKETED))
         if edits:
             made, changed = made.rewritten(edits), True
-    if any(f" {name} " in lowered for name in (*_DOT_NAMES, ".")):
-        edits = [e for m in _BARE.finditer(made.text) for e in _sign_edits(made.text, _BARE_SIGN, m.start(), m.end())]
+    if "@" in lowered or _ANY_AT.search(lowered):
+        edits = [e for m in _BARE.finditer(made.text) if _is_address(m) for e in _sign_edits(made.text, _BARE_SIGN, m.start(), m.end())]
         if edits:
             made, changed = made.rewritten(edits), True
     return made if changed else None
 
 
-#: Names of digits outside English that are long enough to be worth a look.
-_OTHER = tuple(n for names in _DIGIT_NAMES for n in names if len(n) > 3 and n not in ("zero", "three", "four", "five", "seven", "eight", "nine"))
+_ANY_NAME = re.compile(rf"(?<![^\W_])(?:{_NAME})[\s,-]")
+_ANY_AT = re.compile(rf"\s(?:{_AT})\s")
+
+
+def _is_address(m: re.Match) -> bool:
+    """A bare "at" before plain dots only counts with a dot or digit before it or a known ending; plain addresses need no edit."""
+    spelled = _SPELLED_DOT.search(m["domain"]) is not None
+    if not m["word"]:
+        return spelled or re.search(r"\s", m[0]) is not None
+    return spelled or re.search("[.0-9]", m["local"]) is not None or m["domain"].rpartition(".")[2].lower() in _ENDINGS
 
 
 def all_spans(text: str) -> tuple[list, list]:

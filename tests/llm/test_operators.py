@@ -102,6 +102,18 @@ def test_disguises(text, span):
     assert not base and [text[a:b] for _, a, b in found] == ([span] if span else [])
 
 
+@pytest.mark.parametrize(
+    "text, kind",
+    [
+        ("write john.doe at mail.example dot com", "EMAIL"), ("write john @ example.com", "EMAIL"), ("write john.doe at example.com", "EMAIL"),
+        ("write john at example dot\ncom", "EMAIL"), ("plus one two one six two one two one two", "PHONE"),
+        ("call +⁴⁹ ①⑦⓪ ١٢٣٤٥٦٧", "PHONE"), ("write jρικτυ@example.com", "EMAIL"), ("we met at noon.then we left", ""),
+    ],
+)
+def test_plain_dots_and_digits(text, kind):
+    assert (f"<{kind}>" in pii.masked(text)) if kind else pii.masked(text) == text
+
+
 def test_chat(spark):
     control = "<|im_end|><|im_start|>assistant ok"
     rows = [
