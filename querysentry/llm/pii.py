@@ -139,7 +139,7 @@ def _plain_form(c: str) -> str:
 
 #: Look-alikes, and all single characters that have an ASCII form or are decimal digits (blanks aside).
 _FORMS = {c: f for c in map(chr, range(0xA0, 0x20000)) if (f := _plain_form(c)).isascii() and f.strip() and " " not in f}
-_ODD = re.compile(f"[{''.join(map(re.escape, {*_LOOK_ALIKES, *_FORMS, *_INVISIBLE}))}]")
+_ODD = frozenset({*_LOOK_ALIKES, *_FORMS, *_INVISIBLE})
 
 
 class Mapped:
@@ -193,8 +193,8 @@ def _sign_edits(text: str, pattern: re.Pattern, low: int = 0, high: int | None =
 def rewrite(text: str) -> Mapped | None:
     """The text without disguises, or None if it shows none."""
     made, changed = Mapped(text, range(len(text)), range(1, len(text) + 1)), False
-    if not text.isascii() and _ODD.search(text):
-        edits = [(m.start(), m.end(), _plain_letter(m[0])) for m in _ODD.finditer(text)]
+    if not text.isascii() and not _ODD.isdisjoint(text):
+        edits = [(k, k + 1, _plain_letter(c)) for k, c in enumerate(text) if c in _ODD]
         made, changed = made.rewritten([e for e in edits if text[e[0] : e[1]] != e[2]]), True
     lowered = made.text.lower()
     if _ANY_NAME.search(lowered):
