@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from querysentry.llm import chat, decontaminate, id_files, line_rules, packing, pii, quality_ftrl, simhash, token_counts, toxicity
+from querysentry.llm import chat, decontaminate, id_files, line_rules, packing, pii, quality_ftrl, resampling, simhash, spelling, token_counts, toxicity
 from querysentry.llm.frames import table, training_row
 
 QUERIES = {}
@@ -117,6 +117,18 @@ def op10(spark, sf_dir):
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+@query("op12_spelling_variants")
+def op12(spark, sf_dir):
+    found = spelling.spelling_variants(table(spark, sf_dir, "documents"), variant=spelling.dropped_character)
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query("op13_importance_resampling")
+def op13(spark, sf_dir):
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), per_cent=5, min_words=20)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline
