@@ -13,7 +13,7 @@ Defined cases: turns are ordered by (turn, role, text), so ties and repeated row
 order; a null text is empty and a null role is an empty role; a null conversation id is a
 conversation of its own; roles that the template does not know, or that break the turn
 order, make ``valid`` false and name the first offending turn, but are formatted all the
-same, without loss; an empty table gives an empty table; other columns are not read. One
+same, with the loss flag of their role; an empty table gives an empty table; other columns are not read. One
 conversation's output is one row, so a conversation has to fit one row.
 """
 
@@ -38,7 +38,7 @@ class Template:
         ("tool", ("assistant",)),
     )
     learnt: tuple = ("assistant",)
-    final: tuple = ("user", "assistant", "tool", "system")
+    final: tuple = ("assistant",)
     open: str = "<|im_start|>"
     close: str = "<|im_end|>"
 
@@ -70,14 +70,18 @@ def _unescape_role(value: Column) -> Column:
 
 
 def _machine(turns: Column, template: Template) -> Column:
-    """Runs over the turns' roles: the last role, and the place of the first that must not follow (or null)."""
+    """Runs over the turns' roles: the last role, the place of the first that must not follow (or null), and a loss flag a turn."""
+    learnt = F.array(*map(F.lit, template.learnt))
     allowed = F.array(*(F.lit(f"{before}\n{role}") for role, befores in template.follows for before in befores))
-    first = F.struct(F.lit(START).alias("role"), F.lit(0).alias("n"), F.lit(None).cast("int").alias("broken"))
+    first = F.struct(F.lit(START).alias("role"), F.lit(0).alias("n"), F.lit(None).cast("int").alias("broken"), F.lit("").alias("flags"))
 
     def step(state: Column, turn: Column) -> Column:
         fits = F.array_contains(allowed, F.concat(state["role"], F.lit("\n"), turn["role"]))
         broken = F.when(state["broken"].isNotNull(), state["broken"]).when(~fits, state["n"])
-        return F.struct(turn["role"].alias("role"), (state["n"] + 1).alias("n"), broken.alias("broken"))
+        flag = F.when(F.array_contains(learnt, turn["role"]), "1").otherwise("0")
+        return F.struct(
+            turn["role"].alias("role"), (state["n"] + 1).alias("n"), broken.alias("broken"), F.concat(state["flags"], flag).alias("flags")
+        )
 
     return F.aggregate(turns, first, step)
 
@@ -86,13 +90,12 @@ def format_chats(rows: DataFrame, template: Template = Template(), key: str = "c
     """One row a conversation: its segments (text, loss), the formatted text, and the machine's verdict."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     gathered = rows.groupBy(F.col(key).alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    learnt = F.array(*map(F.lit, template.learnt))
 
-    def segments(t: Column) -> Column:
+    def segments(t: Column, place: Column) -> Column:
         head = F.concat(F.lit(template.open), _escape_role(t["role"]), F.lit("\n"))
         return F.array(
             F.struct(head.alias("text"), F.lit(False).alias("loss")),
-            F.struct(escape(t["text"]).alias("text"), F.array_contains(learnt, t["role"]).alias("loss")),
+            F.struct(escape(t["text"]).alias("text"), (F.substr("state.flags", place + 1, F.lit(1)) == "1").alias("loss")),
             F.struct(F.lit(template.close + "\n").alias("text"), F.lit(False).alias("loss")),
         )
 

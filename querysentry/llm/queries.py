@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from querysentry.llm import chat, decontaminate, id_files, line_rules, packing, pii, quality_ftrl, resampling, simhash, spelling, token_counts, toxicity
+from querysentry.llm import chat, decontaminate, id_files, jaccard_join, line_rules, packing, pii, quality_ftrl, resampling, simhash, spelling, token_counts, toxicity
 from querysentry.llm.frames import table, training_row
 
 QUERIES = {}
@@ -45,6 +45,15 @@ _OP3_SQL = f"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '{_CONTROL}' UNION ALL SELECT -1, 1, 'assistant', '{_CONTROL}'
+), o AS (
+  SELECT *, ROW_NUMBER() OVER w - 1 AS place, lag(role) OVER w AS before, ROW_NUMBER() OVER w = COUNT(*) OVER (PARTITION BY conv_id) AS is_last
+  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
+), m AS (
+  SELECT conv_id, CAST(MIN(place) FILTER (NOT coalesce(CASE role WHEN 'system' THEN before IS NULL
+      WHEN 'user' THEN before IS NULL OR before IN ('system', 'assistant', 'tool')
+      WHEN 'assistant' THEN before IN ('user', 'tool') WHEN 'tool' THEN before = 'assistant' ELSE FALSE END, FALSE)) AS INT) AS first_broken,
+    MAX(role) FILTER (is_last) = 'assistant' AS ends_well
+  FROM o GROUP BY conv_id
 ), g AS (
   SELECT conv_id, COUNT(*) AS n_turns,
     string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
@@ -53,7 +62,8 @@ WITH c AS (
       + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
   FROM c GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
-  sha256(loss) AS loss_sha256, formatted_chars FROM g
+  sha256(loss) AS loss_sha256, formatted_chars, first_broken IS NULL AND ends_well AS valid, first_broken
+FROM g JOIN m USING (conv_id)
 """
 
 
@@ -73,6 +83,8 @@ def op3(spark, sf_dir):
         F.length("loss_text").cast("bigint").alias("loss_chars"),
         F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("bigint").alias("formatted_chars"),
+        "valid",
+        "first_broken",
     )
 
 
@@ -117,6 +129,11 @@ def op10(spark, sf_dir):
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+@query("op11_ngram_jaccard_join")
+def op11(spark, sf_dir):
+    return jaccard_join.similar_documents(table(spark, sf_dir, "documents"), words=5, similarity=80)
+
+
 @query("op12_spelling_variants")
 def op12(spark, sf_dir):
     found = spelling.spelling_variants(table(spark, sf_dir, "documents"), variant=spelling.dropped_character)

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from querysentry.llm import resampling, spelling
+from querysentry.llm import jaccard_join, resampling, spelling
 from querysentry.llm.ngram_table import PADDING, Spans, SpanTable
 from querysentry.llm.sorted_groups import map_groups
 
@@ -208,3 +208,82 @@ def test_groups_are_whole(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert got == sorted(Counter(r.g for r in rows.collect()).items())
+
+
+# Similarity join ----------------------------------------------------------------------------------
+
+
+def brute_join(texts, similarity=80):
+    def shingles(text):
+        words = re.findall("[^\x20\x09-\x0d]+", lowered(text))
+        return frozenset(" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+    sets = [shingles(t) for _, t in texts]
+    label = list(range(len(sets)))
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        if sets[i] and sets[j] and label[i] != label[j] and 100 * len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+            label = [label[i] if x == label[j] else x for x in label]
+    least = {}
+    for x, (key, _) in zip(label, texts):
+        least[x] = min((k for k in (least.get(x), key) if k is not None), default=None)
+    return Counter((key, len(s), least[x]) for (key, _), s, x in zip(texts, sets, label))
+
+
+def near_texts():
+    rnd = random.Random(11)
+    vocabulary = ["".join(rnd.choices("abcdefgh", k=3)) for _ in range(400)]
+    passage = rnd.choices(vocabulary, k=60)
+    texts = []
+    for _ in range(12):
+        base = rnd.choices(vocabulary, k=rnd.choice([5, 30, 90, 200])) + rnd.choice([[], passage])
+        for _ in range(rnd.randint(1, 14)):
+            base = list(base)
+            # Chains: each copy is a copy of the one before, with ever more changes.
+            for _ in range(rnd.choice([0, 0, 1, 1, 2, 5])):
+                base[rnd.randrange(len(base))] = rnd.choice(vocabulary)
+            texts.append(" ".join(base))
+    texts += [" ".join(passage), " ".join(passage[:-4]), None, "", " ", "a", "a b c", "A b  c", PROSE, PROSE.upper(), PROSE * 30, "x" * 9000]
+    rnd.shuffle(texts)
+    rows = [(i, t) for i, t in enumerate(texts)]
+    return rows + [(None, PROSE), (None, "only null keys hold this text and nobody else"), (3, texts[3]), (3, texts[3]), (4, PROSE)]
+
+
+@pytest.mark.parametrize("bounds", [{}, {"bucket_shingles": 300, "heavy": 30, "max_sets": 6, "max_shingles": 900}])
+def test_similarity_join(spark, bounds):
+    texts = near_texts()
+    got = jaccard_join.similar_documents(frame(spark, texts), **bounds)
+    assert got.columns == ["doc_id", "n_shingles", "component_id"]
+    assert Counter(map(tuple, got.collect())) == brute_join(texts)
+
+
+def test_similarity_join_empty(spark):
+    docs = frame(spark, [(1, " "), (2, None)])
+    assert jaccard_join.similar_documents(docs.limit(0)).count() == 0
+    assert sorted(map(tuple, jaccard_join.similar_documents(docs).collect())) == [(1, 0, 1), (2, 0, 2)]
+
+
+def test_copies_at_the_border(spark):
+    """Eight of ten shared shingles link, one fewer does not."""
+    base = [f"w{i}" for i in range(13)]
+    texts = [(0, " ".join(base)), (1, " ".join(base + ["x", "y"])), (2, " ".join(base + ["p", "q", "r"])), (3, " ".join(base) + " " + base[0])]
+    assert Counter(map(tuple, jaccard_join.similar_documents(frame(spark, texts)).collect())) == brute_join(texts)
+
+
+def test_prefixes_lose_no_pair():
+    """With any counts of holders, similar sets share as many prefix shingles as the lesser asks for."""
+    rnd = random.Random(2)
+    for _ in range(400):
+        held = {k: rnd.choice([1, 2, 2, 3, 50]) for k in range(60)}
+        x = set(rnd.sample(range(60), rnd.randint(2, 50)))
+        y = (x - set(rnd.sample(sorted(x), rnd.randint(0, len(x) // 6)))) | set(rnd.sample(range(60), rnd.randint(0, 3)))
+        for k in x & y:
+            held[k] = max(2, held[k])
+        if 100 * len(x & y) < 80 * len(x | y):
+            continue
+        prefixes, asked = [], []
+        for s in (x, y):
+            order = sorted((held[k], k) for k in s if held[k] > 1)
+            matches, size = jaccard_join.matches_and_prefix(len(s), np.array([h for h, _ in order], np.int64), 80)
+            asked.append(matches)
+            prefixes.append({k for _, k in order[:size]})
+        assert len(prefixes[0] & prefixes[1]) >= min(asked)
