@@ -11,6 +11,7 @@ from querysentry.operators.autoencoder import (
     score_autoencoder,
 )
 from querysentry.operators.curves import auprc, auroc, curve_areas, pr_curve, roc_curve
+from querysentry.operators.forest import nearest_by_forest
 from querysentry.operators.lexical import escape_counts, lexical_features
 from querysentry.operators.metrics import basic_metrics, confusion, exceedance, predict, threshold, threshold_fixed_fpr
 from querysentry.operators.neighbours import fit_lof, nearest_neighbours, score_lof
@@ -23,7 +24,8 @@ from querysentry.plans.evaluation import evaluate_grid, model_report
 from querysentry.plans.features import hybrid_features, training_table
 from querysentry.sources.sinks import load_model, materialize, save_model, write_curves, write_results
 from querysentry.sources.tables import read_labelled_queries, read_null_normalised_csv, read_trace_log
-from querysentry.streaming.logs import stream_alerts, stream_features, stream_merge_invocations, stream_trace_log
+from querysentry.streaming.logs import stream_alerts, stream_features, stream_trace_log
+from querysentry.streaming.merging import late_invocations, stream_merge_invocations
 
 # Executors get the package's few Python functions with the task, not by import, so
 # nothing has to be installed on them.
@@ -32,8 +34,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 __all__ = [
     "assert_one_to_one", "auprc", "auroc", "basic_metrics", "confusion", "curve_areas", "escape_counts",
     "evaluate_grid", "exceedance", "explode_edges", "explode_nodes", "fill_failed_traces", "fit_autoencoder",
-    "fit_lexical_autoencoder", "fit_lof", "fit_one_class_svm", "hybrid_features", "lexical_features", "load_model",
-    "materialize", "merge_traces", "model_report", "nearest_neighbours", "pending", "pr_curve", "predict",
+    "fit_lexical_autoencoder", "fit_lof", "fit_one_class_svm", "hybrid_features", "late_invocations", "lexical_features", "load_model",
+    "materialize", "merge_traces", "model_report", "nearest_by_forest", "nearest_neighbours", "pending", "pr_curve", "predict",
     "read_labelled_queries", "read_null_normalised_csv", "read_trace_log", "reconstruction_error_by_feature",
     "roc_curve", "sample_fraction", "sample_n", "save_model", "score_autoencoder", "score_lof",
     "score_one_class_svm", "score_table", "statement_features", "stream_alerts", "stream_features",

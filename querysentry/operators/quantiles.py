@@ -3,8 +3,9 @@
 The size of the groups is measured first. Where every group surely fits one task
 the built-in aggregate or window is used. Beyond that both work on one row per distinct value. Values are put into buckets by split
 points taken from a quantile sketch, each bucket is ordered by itself, and the
-totals of the buckets before it are added. The bucket of a row depends on its
-value only, never on where a task ran, so a lost executor changes nothing.
+totals of the buckets before it are added. A bucket that is still too large is split again
+by itself. The bucket of a row depends on its value only, never on where a task ran, so a
+lost executor changes nothing.
 """
 
 from __future__ import annotations
@@ -15,10 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from querysentry.session import GroupProfile, profile_groups
+from querysentry.session import GroupProfile, cut_lineage, profile_groups
 
 SKETCH_ACCURACY = 10_000
-MAX_BUCKETS = 4_096
+#: Buckets of one level, and the rows of a bucket that one task orders.
+MAX_BUCKETS, BUCKET_ROWS = 4_096, 1_000_000
 
 
 def _bucket_count(df: DataFrame, buckets: int | None) -> int:
@@ -42,6 +44,7 @@ def running_totals(
     following: bool = False,
     buckets: int | None = None,
     profile: GroupProfile | None = None,
+    level: int = 0,
 ) -> DataFrame:
     """Add ``cum_<c>`` (running sum) and ``all_<c>`` (group sum) for each of ``sums``.
 
@@ -64,8 +67,8 @@ def running_totals(
     step = math.ceil(math.sqrt(n))
     # The group columns go into one struct, which is never null, so that a null group
     # takes part in the joins below just as it does in a window.
-    kept, group = counts.columns, ["_group"]
-    counts = counts.withColumn("_group", F.struct(*by) if by else F.lit(1))
+    kept, group, bucket = counts.columns, [f"_group{level}"], f"_bucket{level}"
+    counts = counts.withColumn(group[0], F.struct(*by) if by else F.lit(1))
 
     known = F.when(~F.isnan(F.col(order).cast("double")), F.col(order).cast("double"))
     sketched = F.percentile_approx(known, [i / n for i in range(1, n)], max(SKETCH_ACCURACY, 20 * n))
@@ -73,57 +76,79 @@ def running_totals(
         F.coalesce(F.array_distinct(sketched), F.array().cast("array<double>")).alias("_splits")
     ).withColumn("_coarse", F.filter("_splits", lambda _, i: (i + 1) % step == 0))
     bucketed = counts.join(profile.hint(splits, 64 + 10 * n), group).withColumn(
-        "_bucket", _bucket(F.col(order), F.col("_splits"), F.col("_coarse"), step)
+        bucket, _bucket(F.col(order), F.col("_splits"), F.col("_coarse"), step)
     ).drop("_splits", "_coarse")
 
     # At most `n` rows per group from here to the offsets.
     first = F.max_by if descending else F.min_by
-    totals = bucketed.groupBy(*group, "_bucket").agg(
+    totals = cut_lineage(bucketed.groupBy(*group, bucket).agg(
+        F.count(F.lit(1)).alias("_rows"),
         *[F.sum(c).alias(f"_sum_{c}") for c in sums],
         *([first(c, order).alias(f"_first_{c}") for c in sums] if following else []),
-    )
-    across = W.partitionBy(*group).orderBy(direction("_bucket"))
+    ))
+    across = W.partitionBy(*group).orderBy(direction(bucket))
     before = across.rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
         *group,
-        "_bucket",
+        bucket,
         *[F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0)).alias(f"_before_{c}") for c in sums],
-        *[F.sum(f"_sum_{c}").over(W.partitionBy(*group)).alias(f"all_{c}") for c in sums],
+        *[F.sum(f"_sum_{c}").over(W.partitionBy(*group)).alias(f"_all_{c}") for c in sums],
         *([F.lead(f"_first_{c}").over(across).alias(f"_lead_{c}") for c in sums] if following else []),
     )
-    # Join and window need the same partitioning, so the rows move once.
-    inside = W.partitionBy(*group, "_bucket").orderBy(direction(order))
-    upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
-    joined = bucketed.join(offsets, [*group, "_bucket"])
+    size = totals.agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.max("_rows"), F.lit(0)).alias("largest")).first()
+    # Inside the buckets by the window, or by another level of buckets where one is too large
+    # and splitting still helps.
+    bound = profile.bound or BUCKET_ROWS
+    if size.largest > bound:
+        bucketed = cut_lineage(bucketed)
+        bound = bound if size.largest < profile.largest else size.largest
+    inside = running_totals(
+        bucketed, [*group, bucket], order, sums, descending, following, buckets, GroupProfile(size.groups, size.largest, bound), level + 1
+    )
+    joined = inside.join(offsets, [*group, bucket])
     return joined.select(
         *kept,
-        *[(F.col(f"_before_{c}") + F.sum(c).over(upto)).alias(f"cum_{c}") for c in sums],
-        *[f"all_{c}" for c in sums],
-        *(
-            [F.coalesce(F.lead(c).over(inside), F.col(f"_lead_{c}")).alias(f"next_{c}") for c in sums]
-            if following
-            else []
-        ),
+        *[(F.col(f"_before_{c}") + F.col(f"cum_{c}")).alias(f"cum_{c}") for c in sums],
+        *[F.col(f"_all_{c}").alias(f"all_{c}") for c in sums],
+        *([F.coalesce(f"next_{c}", f"_lead_{c}").alias(f"next_{c}") for c in sums] if following else []),
     )
 
 
 def _at_ranks(
-    values: DataFrame, by: list[str], q: float, low_rank: Column, high_rank: Column, profile: GroupProfile
+    values: DataFrame, by: list[str], q: float, low_rank: Column, high_rank: Column, profile: GroupProfile, margin: float = 2 / SKETCH_ACCURACY
 ) -> DataFrame:
     """Per group: row count and the values at two ranks (from 0) near quantile ``q``.
 
     A sketch brackets the wanted ranks with twice its guaranteed rank error. Only
-    values inside the bracket are counted one by one; those below it count as one.
+    values inside the bracket are counted one by one; those below it count as one. Groups
+    whose bracket does not hold the ranks get a bracket eight times as wide, until it is
+    everything.
     """
-    margin = 2 / SKETCH_ACCURACY
     group = ["_all"]
     values = values.select(*values.columns, (F.struct(*by) if by else F.lit(1)).alias("_all"))
+    found = None
+    while True:
+        tried = cut_lineage(_in_bracket(values, group, q, low_rank, high_rank, profile, margin))
+        sure = tried.filter("held")
+        found = sure if found is None else found.unionByName(sure)
+        missed = tried.filter("NOT held").select(*group)
+        if missed.isEmpty():
+            break
+        values = values.join(profile.hint(missed), group, "left_semi")
+        margin *= 8
+    return found.select(*(F.col(f"_all.{c}").alias(c) for c in by), "n", "low", "high")
+
+
+def _in_bracket(
+    values: DataFrame, group: list[str], q: float, low_rank: Column, high_rank: Column, profile: GroupProfile, margin: float
+) -> DataFrame:
+    """Per group ``n``, the values at both ranks, and whether the bracket ``held`` them."""
     sketch = F.percentile_approx("_v", [max(q - margin, 0.0), min(q + margin, 1.0)], SKETCH_ACCURACY)
     stats = values.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), sketch.alias("_s")
     )
     # For few rows, or at the ends, the bracket is everything on that side.
-    few = F.col("n") * margin < 4
+    few = F.col("n") * margin < 4 if margin >= 2 / SKETCH_ACCURACY else F.lit(False)
     stats = stats.select(
         *group,
         "n",
@@ -138,14 +163,12 @@ def _at_ranks(
         .agg(F.count(F.lit(1)).alias("c"))
     )
     ranked = running_totals(counts, group, "_v", ["c"], profile=profile).join(bounds, group)
-    found = ranked.groupBy(*group).agg(
+    return ranked.groupBy(*group).agg(
         F.first("n").alias("n"),
         F.first("_lo").alias("_lo"),
         F.min(F.when(F.col("cum_c") > low_rank, F.col("_v"))).alias("low"),
         F.min(F.when(F.col("cum_c") > high_rank, F.col("_v"))).alias("high"),
-    )
-    checked = F.when(F.col("low") < F.col("_lo"), F.raise_error(F.lit("quantile bracket missed its rank"))).otherwise(F.col("low"))
-    return found.select(*(F.col(f"_all.{c}").alias(c) for c in by), "n", checked.alias("low"), "high")
+    ).withColumn("held", F.coalesce((F.col("low") >= F.col("_lo")) & F.col("high").isNotNull(), F.lit(False)))
 
 
 def _values(df: DataFrame, value: str | Column, by: list[str]) -> DataFrame:

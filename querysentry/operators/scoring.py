@@ -6,12 +6,11 @@ import time
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querysentry import registry
-from querysentry.operators.training import matrices
+from querysentry.operators.vectors import by_row
 
 
 def score_table(
@@ -28,12 +27,7 @@ def score_table(
     ``batch_size`` rows at a time.
     """
 
-    @F.pandas_udf("double")
-    def score(features: pd.Series) -> pd.Series:
-        parts = [np.asarray(score_fn(x), dtype=float) for x in matrices(iter([features.to_frame("features")]), batch_size)]
-        return pd.Series(np.concatenate(parts) if parts else [], dtype=float)
-
-    return features_fn(df).select(*(keep or ["row_id"]), score("features").alias("score"))
+    return features_fn(df).select(*(keep or ["row_id"]), by_row(score_fn, "features", batch_size).alias("score"))
 
 
 def throughput(scores: DataFrame, model: str) -> DataFrame:

@@ -9,7 +9,7 @@ from querysentry import registry
 from querysentry.functions import tree as T
 from querysentry.functions.text import keyword_count
 from querysentry.operators.traces import merge_traces
-from querysentry.session import broadcast_if_small, join_groups
+from querysentry.session import broadcast_if_small, cut_lineage, join_groups
 
 TREE = "semantic_tree"
 
@@ -128,20 +128,20 @@ def statement_features(log: DataFrame, mode: str, key: str = "stmt_id", words=No
 
     Equal to the features of the merged traces. Where node texts lack the closing ``|``,
     the last node of one invocation and the first of the next run into each other when
-    they are joined. One look at the ends of the texts tells whether there are such
-    statements; only those are merged by ``order`` first.
+    they are joined. The aggregation tells which statements have such ends, so the log is
+    read once; only where there are some, those are merged by ``order``.
     """
-    seams = log.filter(T.open_ended(F.col(TREE))).select(key)
+    summed = cut_lineage(_summed_features(log, mode, key, words))
+    seams = summed.filter("_open").select(key)
+    known = summed.drop("_open")
     if seams.isEmpty():
-        return _summed_features(log, mode, key, words)
-    seams = broadcast_if_small(seams.distinct())
-    summed = _summed_features(join_groups(log, seams, [key], "left_anti"), mode, key, words)
-    merged = merge_traces(join_groups(log, seams, [key], "left_semi"), key, order)
-    return summed.unionByName(trace_features(merged, mode, words).select(*summed.columns))
+        return known
+    merged = merge_traces(join_groups(log, broadcast_if_small(seams), [key], "left_semi"), key, order)
+    return summed.filter("NOT _open").drop("_open").unionByName(trace_features(merged, mode, words).select(*known.columns))
 
 
 def _summed_features(log: DataFrame, mode: str, key: str, words) -> DataFrame:
-    """Features per statement whose node texts are closed.
+    """Features per statement, right where its node texts are closed; ``_open`` where they are not.
 
     Every feature of a merged tree is a sum, maximum or minimum over its nodes,
     so each invocation is reduced to numbers where it is read, and one
@@ -154,7 +154,8 @@ def _summed_features(log: DataFrame, mode: str, key: str, words) -> DataFrame:
     tags = [tag for _, tag in registry.vocabulary_tags(vocabulary)]
     fields = F.col("_fields")
     needed = log.select(
-        key, *registry.SYNTACTIC[:4], TREE, F.coalesce(T.has_two_parts(F.col(TREE)), F.lit(False)).alias("_whole")
+        key, *registry.SYNTACTIC[:4], TREE, F.coalesce(T.has_two_parts(F.col(TREE)), F.lit(False)).alias("_whole"),
+        F.coalesce(T.open_ended(F.col(TREE)), F.lit(False)).alias("_open"),
     )
     per_row = (
         with_node_fields(needed)
@@ -163,6 +164,7 @@ def _summed_features(log: DataFrame, mode: str, key: str, words) -> DataFrame:
             key,
             *registry.SYNTACTIC[:4],
             "_whole",
+            "_open",
             *_tag_columns(vocabulary),
             F.aggregate("_counts", F.lit(0), lambda acc, c: acc + c).alias("_kw_sum"),
             F.size("_counts").alias("_kw_n"),
@@ -177,6 +179,7 @@ def _summed_features(log: DataFrame, mode: str, key: str, words) -> DataFrame:
         F.max(F.when(F.col("is_syntax_error") == 1, 1).otherwise(0)).alias("is_syntax_error"),
         F.coalesce(F.sum("depth"), F.lit(0)).alias("depth"),
         F.count(F.lit(1)).alias("n_parser_invoc"),
+        F.max("_open").alias("_open"),
     ]
     sums = [*tags, "_kw_sum", "_kw_n"]
     for suffix, gate in (("u", whole), ("a", F.lit(True))):
@@ -199,6 +202,8 @@ def _summed_features(log: DataFrame, mode: str, key: str, words) -> DataFrame:
         F.coalesce(F.try_divide(pick("_kw_sum").cast("double"), pick("_kw_n")), F.lit(0.0)).alias("avg_c_sqlkywds"),
         pick("_kw_max").alias("max_c_sqlkywds"),
         pick("_kw_min").alias("min_c_sqlkywds"),
+        # A lone invocation is joined to nothing.
+        (F.col("_open") & (F.col("n_parser_invoc") > 1)).alias("_open"),
     )
 
 
@@ -241,8 +246,7 @@ def named_edges(traces: DataFrame, kinds: DataFrame, keys: list[str]) -> DataFra
     Where a tree repeats an order number the last node counts. Edges with an end that
     no node bears are left out here and listed by ``dangling_edges``. Both ends are
     looked up inside the row for trees of up to ``IN_ROW_TREE`` characters, which shuffles
-    nothing. Larger trees, where a look-up per edge would grow with the square of
-    the tree, are exploded and joined, so one of any size spreads over many tasks.
+    nothing. Larger trees are exploded and joined, so one of any size spreads over many tasks.
     The symbol table is broadcast once its size has been checked.
     """
     edges = _edge_kinds(traces, keys).filter("parent_found and child_found")
@@ -267,17 +271,33 @@ def _edge_kinds(traces: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _edge_kinds_in_row(traces: DataFrame, keys: list[str]) -> DataFrame:
-    backwards = F.reverse("_fields")  # the first match is the last node
-    parsed = with_node_fields(traces).withColumns(
+    """Both ends of every edge, looked up in the row's nodes.
+
+    The nodes are sorted by order number once and the last of each number is kept. Numbers
+    of a tree mostly have no gaps, so a node's place follows from its number; it is only
+    searched for where the node there bears another one.
+    """
+    node = F.transform(
+        "_fields", lambda f, pos: F.struct(f[0].try_cast("long").alias("order"), pos.alias("pos"), f[1].try_cast("int").alias("kind"))
+    )
+    numbered = F.array_sort(F.filter(node, lambda n: n.order.isNotNull()))
+    parsed = with_node_fields(traces).withColumn("_numbered", numbered)
+    last = F.filter("_numbered", lambda n, i: F.coalesce(F.get("_numbered", i + 1)["order"] != n.order, F.lit(True)))
+    parsed = parsed.withColumn("_nodes", last).withColumns(
         {
-            "_orders": F.transform(backwards, lambda f: f[0].try_cast("long")),
-            "_kinds": F.transform(backwards, lambda f: f[1].try_cast("int")),
+            "_orders": F.transform("_nodes", lambda n: n.order),
+            "_kinds": F.transform("_nodes", lambda n: n.kind),
             "_edges": T.edges(F.col(TREE)),
         }
     )
 
     def place(order: Column) -> Column:
-        return F.array_position("_orders", order).cast("int")
+        guess = order - F.get("_orders", F.lit(0))
+        near = F.when((guess >= 0) & (guess < F.size("_orders")), guess).cast("int")
+        searched = F.nullif(F.array_position("_orders", order), F.lit(0)) - 1
+        # Where all numbers are there, a guess outside them finds nothing by searching either.
+        whole = F.get("_orders", F.size("_orders") - 1) - F.get("_orders", F.lit(0)) == F.size("_orders") - 1
+        return F.when(F.get("_orders", near) == order, near).when(~whole, searched.cast("int"))
 
     found = F.transform(
         "_edges",
@@ -290,9 +310,8 @@ def _edge_kinds_in_row(traces: DataFrame, keys: list[str]) -> DataFrame:
         found,
         lambda e: F.struct(
             e.pos.alias("pos"), e.parent.alias("parent"), e.child.alias("child"),
-            F.when(e.p > 0, F.get("_kinds", e.p - 1)).alias("parent_kind"),
-            F.when(e.c > 0, F.get("_kinds", e.c - 1)).alias("child_kind"),
-            F.coalesce(e.p > 0, F.lit(False)).alias("parent_found"), F.coalesce(e.c > 0, F.lit(False)).alias("child_found"),
+            F.get("_kinds", e.p).alias("parent_kind"), F.get("_kinds", e.c).alias("child_kind"),
+            e.p.isNotNull().alias("parent_found"), e.c.isNotNull().alias("child_found"),
         ),
     )
     return parsed.select(*keys, F.inline_outer(ends)).filter(F.col("pos").isNotNull())

@@ -71,11 +71,13 @@ class GroupProfile(NamedTuple):
 
     groups: int
     largest: int
+    #: Rows that surely fit one task, where they are not ``SMALL_GROUP_ROWS``.
+    bound: int | None = None
 
     @property
     def small(self) -> bool:
         """True if any single group surely fits one task."""
-        return self.largest <= SMALL_GROUP_ROWS
+        return self.largest <= (self.bound or SMALL_GROUP_ROWS)
 
     def hint(self, side: DataFrame, row_bytes: int = 256) -> DataFrame:
         """Broadcast hint for a table with one row per group, if those are few and small.
@@ -113,13 +115,11 @@ def broadcast_if_small(side: DataFrame, max_rows: int = 100_000) -> DataFrame:
     return side
 
 
-def spread_small_input(df: DataFrame, *keys: str, bytes_per_task: int = 16 << 20) -> DataFrame:
+def spread_small_input(df: DataFrame, *keys: str) -> DataFrame:
     """Use all cores for heavy per-row work on an input with few splits.
 
-    A file with one row group is read by one task. If the optimizer's size
-    estimate of the input is below ``bytes_per_task`` per core, rows are spread
-    by keys; larger inputs have splits enough and are left as they are, unshuffled.
+    A file with one row group is read by one task. If the input has fewer files than there
+    are cores, rows are spread by keys; other inputs are left as they are, unshuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, *keys) if size < cores * bytes_per_task else df
+    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df

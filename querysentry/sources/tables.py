@@ -104,17 +104,33 @@ def read_trace_log(
 
 
 def _files_by_header(spark: SparkSession, path: str | list[str]) -> dict[str, list[str]]:
-    """Header rows (lines that name the statement's key) and the files that hold them; "" for files without one."""
+    """Header rows (first lines that name the statement's key) and the files that begin with them; "" for files without one.
+
+    Every file is a partition of its own, and its task ends after the first rows it gets.
+    """
     lines = spark.read.text(path)
-    fields = F.transform(F.split("value", ","), lambda f: F.trim(F.replace(f, F.lit('"'), F.lit(""))))
-    heads = (
-        lines.select(F.input_file_name().alias("file"), "value", fields.alias("fields"))
-        .filter(F.array_contains("fields", "query_id")).select("file", "value").distinct()
-    )
-    # One short row per file, as many as Spark's own file listing holds.
+
+    def first(frames):
+        for frame in frames:
+            if len(frame):
+                if frame["start"].iloc[0] == 0:
+                    yield frame.iloc[:1]
+                return
+
+    heads = lines.select("value", F.input_file_name().alias("file"), F.input_file_block_start().alias("start"))
+    option = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(option)
+    # As if opening a file cost a whole partition, so that no partition holds two.
+    spark.conf.set(option, spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    try:
+        # One line per file, as many as Spark's own file listing holds.
+        found = heads.mapInPandas(first, "value string, file string, start long").collect()
+    finally:
+        spark.conf.set(option, before)
     made: dict[str, list[str]] = {}
-    for row in heads.collect():
-        made.setdefault(row.value, []).append(row.file)
+    for row in found:
+        if "query_id" in [field.strip().strip('"') for field in row.value.split(",")]:
+            made.setdefault(row.value, []).append(row.file)
     headed = {f for files in made.values() for f in files}
     rest = [f for f in lines.inputFiles() if f not in headed]
     return {**made, **({"": rest} if rest else {})}

@@ -14,9 +14,7 @@ from pyspark.sql import types as T
 from querysentry import registry
 from querysentry.operators.autoencoder import score_autoencoder
 from querysentry.operators.lexical import lexical_features
-from querysentry.operators.traces import merge_traces
 from querysentry.operators.tree import trace_features
-from querysentry.session import cut_lineage
 from querysentry.sources.tables import typed_trace_log
 
 
@@ -52,85 +50,6 @@ def stream_alerts(stream: DataFrame, model: dict, threshold: float) -> DataFrame
     return score_autoencoder(stream, model).filter(F.col("score") >= threshold)
 
 
-def sessions(log: DataFrame, key: str, event_time: str, gap: str) -> DataFrame:
-    """(key, start, end) of each run of invocations whose pauses are shorter than ``gap``.
-
-    Works on streams and tables. The state of a statement is a few numbers, never its texts.
-    """
-    found = log.groupBy(key, F.session_window(event_time, gap).alias("session")).agg(F.count(F.lit(1)).alias("n"))
-    return found.select(key, F.col("session.start").alias("start"), F.col("session.end").alias("end"))
-
-
-def merge_sessions(log: DataFrame, done: DataFrame, key: str, order: str, event_time: str, gap: str) -> DataFrame:
-    """The batch merge over the invocations of the given sessions.
-
-    Invocations find their session by key and slot of time, so that a key with many
-    invocations and sessions is dealt out. A session has no empty slot but its last two,
-    so there are not many more slots than invocations.
-    """
-    slots = F.sequence(F.window("start", gap)["start"], F.col("end"), F.expr(f"INTERVAL {gap}"))
-    spans = done.select(F.col(key).alias("_key"), "start", "end", F.explode(slots).alias("_slot"))
-    rows = log.withColumn("_at", F.window(event_time, gap)["start"])
-    inside = (F.col(event_time) >= F.col("start")) & (F.col(event_time) < F.col("end"))
-    met = rows.join(spans, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_at") == F.col("_slot")) & inside)
-    merged = merge_traces(met.withColumn("_session", F.struct(key, "start", "end")), "_session", order)
-    return merged.select("_session.*", *[c for c in merged.columns if c != "_session"])
-
-
-def stream_merge_invocations(
-    stream: DataFrame,
-    folder: str,
-    key: str = "stmt_id",
-    order: str = "seq",
-    event_time: str = "ts",
-    delay: str = "10 minutes",
-    gap: str = "1 hour",
-    flush: bool = False,
-) -> DataFrame:
-    """Merge what has arrived; one trace per statement, whatever hour borders it crosses.
-
-    A statement is complete when the watermark is ``gap`` past its last invocation. The
-    invocations are landed in ``folder`` first; the stream over them only tells which
-    statements are complete, and their texts are joined by the batch operator. Calls with
-    the same folder continue where the last one stopped. ``flush`` ends the input: the
-    statements still open are merged too.
-
-    Invocations that come after their statement was merged, or bear no time, are left
-    out; a key that was silent for ``gap`` starts another statement. A batch that is
-    repeated after a failure overwrites its own output.
-    """
-    spark = stream.sparkSession
-    landed, out = f"{folder}/landed", f"{folder}/traces"
-    run_available(stream, landed, f"{folder}/checkpoint-landed")
-    log = spark.read.schema(stream.schema).parquet(landed)
-    # Written before the first batch, so that the folder is readable whatever is complete.
-    nothing = merge_sessions(log, sessions(log, key, event_time, gap), key, order, event_time, gap).limit(0)
-    nothing.write.mode("overwrite").parquet(f"{out}/batch=-1")
-
-    def write(done: DataFrame, batch: int) -> None:
-        done = cut_lineage(done)
-        first, last = done.agg(F.min("start"), F.max("end")).first()
-        if first is not None:
-            rows = done.sparkSession.read.schema(stream.schema).parquet(landed)
-            rows = rows.filter(F.col(event_time).between(F.lit(first), F.lit(last)))
-            merge_sessions(rows, done, key, order, event_time, gap).write.mode("overwrite").parquet(f"{out}/batch={batch}")
-
-    arriving = spark.readStream.schema(stream.schema).parquet(landed).withWatermark(event_time, delay)
-    query = (
-        sessions(arriving, key, event_time, gap).writeStream.outputMode("append").foreachBatch(write)
-        .option("checkpointLocation", f"{folder}/checkpoint-sessions").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    traces = spark.read.schema(nothing.schema).parquet(out).drop("batch")
-    if flush:
-        known = traces.select(F.col(key).alias("_key"), F.col("start").alias("_start"), F.col("end").alias("_end"))
-        overlap = F.col(key).eqNullSafe(F.col("_key")) & (F.col("start") < F.col("_end")) & (F.col("end") > F.col("_start"))
-        still_open = sessions(log, key, event_time, gap).join(known, overlap, "left_anti")
-        merge_sessions(log, still_open, key, order, event_time, gap).write.mode("overwrite").parquet(f"{out}/batch=-2")
-        traces = spark.read.schema(nothing.schema).parquet(out).drop("batch")
-    return traces
-
-
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Append everything that has arrived to a Parquet folder, then stop."""
     query = (

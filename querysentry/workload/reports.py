@@ -16,7 +16,7 @@ from querysentry.operators.tree import semantic_projection
 from querysentry.session import shared_path
 from querysentry.sources import dimensions as D
 from querysentry.sources import sinks, tables
-from querysentry.streaming import logs
+from querysentry.streaming import logs, merging
 from querysentry.workload import traces  # noqa: F401  (its SQL is reused)
 from querysentry.workload.bindings import (
     ITEM,
@@ -574,5 +574,5 @@ def stream_merge_invocations(spark, sf_dir):
         ).alias("semantic_tree"),
         (user % 5).alias("depth"),
     )
-    merged = logs.stream_merge_invocations(stream, shared_path(spark, "stream", "merge"), flush=True)
+    merged = merging.stream_merge_invocations(stream, shared_path(spark, "stream", "merge"), flush=True)
     return merged.withColumn("first_at", F.date_format("start", "yyyy-MM-dd HH:mm:ss")).drop("start", "end")

@@ -467,6 +467,19 @@ def named_edges(spark, sf_dir):
     return TREE.named_edges(_distinct_trees(spark, sf_dir), kinds, _TREE_KEYS)
 
 
+@query(
+    "dangling_edges",
+    f"""WITH e AS ({_TREES})
+SELECT stmt_id, line, part, supplier, 4 AS pos, CAST(2 AS BIGINT) AS parent, CAST(9 AS BIGINT) AS child, TRUE AS parent_found, FALSE AS child_found FROM e
+UNION ALL SELECT stmt_id, line, part, supplier, 5, 8, 1, FALSE, TRUE FROM e WHERE supplier % 2 = 0""",
+)
+def dangling_edges(spark, sf_dir):
+    """Every tree gets an edge to a node that is not there, every second one an edge from such a node."""
+    more = F.when(F.col("supplier") % 2 == 0, " 2>9: 8>1: ").otherwise(" 2>9: ")
+    trees = _distinct_trees(spark, sf_dir).withColumn("semantic_tree", F.concat(F.rtrim("semantic_tree"), more))
+    return TREE.dangling_edges(trees, _TREE_KEYS)
+
+
 @query(
     "untagged_rules",
     """SELECT CONCAT('rule_', p_partkey) AS rule FROM part

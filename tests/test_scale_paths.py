@@ -10,6 +10,7 @@ from querysentry.operators import metrics as M
 from querysentry.operators import neighbours as NN
 from querysentry.operators import quantiles as Q
 from querysentry.operators import selection as S
+from querysentry.session import GroupProfile
 
 
 def skewed_scores(spark):
@@ -149,3 +150,38 @@ def test_outlier_factor_equals_brute_force(spark):
     got = {r.row_id: r.score for r in NN.score_lof(rows, train, model, k, rows_per_block=32).collect()}
     assert [got[i] for i in range(len(new))] == pytest.approx(expected.tolist())
     assert max(got, key=got.get) == 20
+
+
+def test_brackets_that_miss_are_widened(spark, monkeypatch):
+    """A coarse sketch with a margin below its error misses ranks; the result is exact all the same."""
+    monkeypatch.setattr(Q, "SKETCH_ACCURACY", 20)
+    values = spark.range(4001).select(
+        (F.col("id") % 3).alias("g"), F.when(F.col("id") % 7 == 0, 5.0).otherwise(F.pow(F.col("id") * 37 % 4001, 1.5)).alias("_v")
+    ).repartition(9).cache()
+    exact = {}
+    for g, v in values.collect():
+        exact.setdefault(g, []).append(v)
+    attempts = []
+    plain = Q._in_bracket
+    monkeypatch.setattr(Q, "_in_bracket", lambda *a: attempts.append(a[-1]) or plain(*a))
+    for q in (0.03, 0.37, 0.5, 0.999):
+        at = F.floor((F.col("n") - 1) * F.lit(q))
+        for row in Q._at_ranks(values, ["g"], q, at, at, GroupProfile(3, 10**9), margin=1e-6).collect():
+            assert row.low == row.high == sorted(exact[row.g])[int((row.n - 1) * q)]
+    assert max(attempts) > 1e-6
+
+
+@pytest.mark.parametrize("following", [False, True])
+def test_running_totals_over_levels_of_buckets(spark, following):
+    """Buckets beyond the bound are split again; nulls and repeats of the ends don't hang."""
+    counts = spark.range(3000).select(
+        F.when(F.col("id") < 2000, "a").when(F.col("id") < 2999, "b").alias("g"), F.when(F.col("id") % 1000 > 0, F.col("id") ** 2.0).alias("v"), F.col("id").alias("c")
+    ).repartition(7)
+    plain = sorted(map(str, Q.running_totals(counts, ["g"], "v", ["c"], True, following).collect()))
+    levels = Q.running_totals(counts, ["g"], "v", ["c"], True, following, buckets=4, profile=GroupProfile(3, 3000, 40))
+    got = sorted(map(str, levels.collect()))
+    # Rows of one value (null) may come in any order.
+    def known(rows):
+        return [r for r in rows if "v=None" not in r]
+
+    assert len(got) == 3000 and known(got) == known(plain)

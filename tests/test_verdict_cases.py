@@ -14,7 +14,7 @@ from querysentry.operators import tree as TREE
 from querysentry.operators import traces
 from querysentry.plans.evaluation import model_report
 from querysentry.sources import sinks, tables
-from querysentry.streaming import logs
+from querysentry.streaming import merging
 
 
 def odd_scores(spark):
@@ -137,7 +137,7 @@ def test_stream_merges_across_borders(spark, tmp_path):
         spark.createDataFrame(made, columns).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
 
     def run(flush):
-        found = logs.stream_merge_invocations(spark.readStream.schema(columns).parquet(f"{tmp_path}/in"), f"{tmp_path}/work", flush=flush)
+        found = merging.stream_merge_invocations(spark.readStream.schema(columns).parquet(f"{tmp_path}/in"), f"{tmp_path}/work", flush=flush)
         return sorted((str(r.stmt_id), r.n_parser_invoc, r.semantic_tree) for r in found.collect())
 
     arrive([(1, 1, "2024-01-01 09:50:00"), (1, 2, "2024-01-01 10:20:00"), (None, 3, "2024-01-01 10:00:00"), (2, 4, "2024-01-01 13:00:00")])
