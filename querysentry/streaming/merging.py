@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +18,13 @@ from querysentry.session import cut_lineage, shared_path
 #: A state store that keeps the pieces on disk and sends only changes to the checkpoint.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: What a key's state holds for each batch, and the time of an invocation that has none.
+STATE = "at array<bigint>, row array<string>"
+NEVER = -(1 << 62)
+GIVEN = "_at bigint, _row string, _start bigint, _end bigint, _late boolean"
+#: Times in rows keep their microseconds.
+_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
 
 def runs(times: list[int], gap: int) -> list[tuple[int, int]]:
     """Borders (from, to) of the runs of ascending times whose pauses are shorter than ``gap``."""
@@ -27,22 +35,20 @@ def runs(times: list[int], gap: int) -> list[tuple[int, int]]:
 class Statements(StatefulProcessor):
     """Keeps a key's invocations; a timer gives those out whose statement has ended.
 
-    Columns are those of the input behind ``_at`` (microseconds). Rows come out with
-    ``_start`` and ``_end`` of their statement, or ``_late`` if their statement was over
-    when they came and none that is open takes them.
+    An invocation is its time ``_at`` (microseconds, ``NEVER`` if it has none) and the text
+    ``_row`` of all its columns. What comes of a key in a batch is one entry of its state.
+    Rows come out with ``_start`` and ``_end`` of their statement, or ``_late`` if their
+    statement was over when they came and none that is open takes them.
     """
 
-    def __init__(self, gap: int, columns: T.StructType):
-        self.gap, self.columns = gap, columns
+    def __init__(self, gap: int):
+        self.gap = gap
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pieces = handle.getListState("pieces", self.columns)
+        self.pieces = handle.getListState("pieces", STATE)
         self.due = handle.getValueState("due", "at long")
 
-    def _row(self, piece: tuple, start: int | None, end: int | None, late: bool) -> Row:
-        return Row(**dict(zip(self.columns.names, piece)), _start=start, _end=end, _late=late)
-
     def _call_at(self, micros: int) -> None:
         """See to it that a timer fires when the watermark has passed this time."""
         now = self.due.get() if self.due.exists() else None
@@ -53,41 +59,58 @@ class Statements(StatefulProcessor):
             self.handle.registerTimer(at)
             self.due.update((at,))
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+    def _kept(self) -> tuple[list[int], list[str]]:
+        times, rows = [], []
+        if self.pieces.exists():
+            for at, row in self.pieces.get():
+                times += list(at)
+                rows += list(row)
+        return times, rows
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        new = [tuple(row[c] for c in self.columns.names) for row in rows]
-        taken = [p for p in new if p[0] is not None and p[0] + self.gap > passed]
-        if len(taken) < len(new):
+        # The columns come in order, under names of their own.
+        new = pd.concat([frame.iloc[:, -2:].set_axis(["_at", "_row"], axis=1) for frame in rows], ignore_index=True)
+        taken = (new["_at"] != NEVER) & (new["_at"] + self.gap > passed)
+        if not taken.all():
             # Only such rows need a look at what is open.
-            known = [p[0] for p in self.pieces.get()] if self.pieces.exists() else []
-            times = sorted({*known, *(p[0] for p in new if p[0] is not None)})
+            known = self._kept()[0]
+            times = sorted({*known, *(t for t in new["_at"].tolist() if t != NEVER)})
             still = set(known)
             for a, b in runs(times, self.gap):
                 if times[b - 1] + self.gap > passed or still.intersection(times[a:b]):
                     still.update(times[a:b])
-            taken = [p for p in new if p[0] in still]
-            for piece in new:
-                if piece[0] not in still:
-                    yield self._row(piece, None, None, True)
-        if taken:
-            self.pieces.appendList(taken)
-            self._call_at(min(p[0] for p in taken) + self.gap)
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+            taken = new["_at"].isin(still)
+            late = new[~taken]
+            yield late.assign(_start=NEVER, _end=NEVER, _late=True)
+            new = new[taken]
+        if len(new):
+            self.pieces.appendValue((new["_at"].tolist(), new["_row"].tolist()))
+            self._call_at(int(new["_at"].min()) + self.gap)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        pieces = sorted(self.pieces.get(), key=lambda p: p[0])
-        times, left = [p[0] for p in pieces], []
+        times, rows = self._kept()
+        order = sorted(range(len(times)), key=times.__getitem__)
+        times, rows = [times[i] for i in order], [rows[i] for i in order]
+        left, start, end = [], [], []
         for a, b in runs(times, self.gap):
-            end = times[b - 1] + self.gap
-            if end <= passed:
-                for piece in pieces[a:b]:
-                    yield self._row(tuple(piece), times[a], end, False)
+            if times[b - 1] + self.gap <= passed:
+                start += [times[a]] * (b - a)
+                end += [times[b - 1] + self.gap] * (b - a)
             else:
-                left += [tuple(p) for p in pieces[a:b]]
+                left += range(a, b)
+                start += [NEVER] * (b - a)
+                end += [NEVER] * (b - a)
+        given = pd.DataFrame({"_at": times, "_row": rows, "_start": start, "_end": end, "_late": False})
+        given = given[given["_start"] != NEVER]
+        if len(given):
+            yield given
         self.due.clear()
         if left:
-            self.pieces.put(left)
-            first = [p[0] for p in left]
+            first = [times[i] for i in left]
+            if len(given):
+                self.pieces.put([(first, [rows[i] for i in left])])
             self._call_at(first[runs(first, self.gap)[0][1] - 1] + self.gap)
         else:
             self.pieces.clear()
@@ -141,28 +164,32 @@ def stream_merge_invocations(
     """
     spark = stream.sparkSession
     wide = _micros(spark, gap)
-    others = [f for f in stream.schema.fields if f.name != event_time]
-    kept = T.StructType([T.StructField("_at", T.LongType()), *others])
+    rest = T.StructType([f for f in stream.schema.fields if f.name != event_time])
     # The watermark is taken here. The time goes on as a number, so that the engine leaves it to
     # the processor to say what is late. A null key is a key too.
     name = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")).alias("_key")
     timed = stream.withWatermark(event_time, delay).select(
-        name, F.unix_micros(event_time).alias("_at"), *[f.name for f in others]
+        name, F.coalesce(F.unix_micros(event_time), F.lit(NEVER)).alias("_at"), F.to_json(F.struct(*rest.names), _JSON).alias("_row")
     )
-    given = T.StructType([*kept.fields, T.StructField("_start", T.LongType()), T.StructField("_end", T.LongType()), T.StructField("_late", T.BooleanType())])
-    given_back = [F.timestamp_micros("_at").alias(c) if c == event_time else F.col(c) for c in stream.columns]
+    result = timed.groupBy("_key").transformWithStateInPandas(Statements(wide), GIVEN, "Append", "EventTime")
+
+    def opened(pieces: DataFrame) -> DataFrame:
+        """The columns of the invocations."""
+        read = pieces.withColumn("_row", F.from_json("_row", rest, _JSON))
+        return read.select("_row.*", *[c for c in pieces.columns if c != "_row"])
+
+    when = F.when(F.col("_at") != NEVER, F.timestamp_micros("_at"))
+    given_back = [when.alias(c) if c == event_time else F.col(c) for c in stream.columns]
     traces, late, checkpoint = (f"{folder}/{part}" for part in ("traces", "late", "checkpoint"))
-    processor = Statements(wide, kept)
-    result = timed.groupBy("_key").transformWithState(processor, given, "Append", "EventTime")
 
     def write(batch: DataFrame, number: int) -> None:
         # Computed once: the state must not be asked twice for a batch.
-        pieces = cut_lineage(batch)
+        pieces = opened(cut_lineage(batch))
         _merged(pieces.filter("NOT _late"), key, order).write.mode("overwrite").parquet(f"{traces}/batch={number}")
         pieces.filter("_late").select(*given_back).write.mode("overwrite").parquet(f"{late}/batch={number}")
 
     # Written before the first batch, so that the folders are readable whatever is complete.
-    write(spark.createDataFrame([], given), -1)
+    write(spark.createDataFrame([], GIVEN), -1)
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     try:
@@ -177,7 +204,8 @@ def stream_merge_invocations(
     if not flush:
         return done
     state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "pieces").option("flattenCollectionTypes", True)
-    still_open = _with_sessions(state.load().select("list_element.*"), key, wide)
+    pieces = state.load().select(F.inline(F.arrays_zip(F.col("list_element.at").alias("_at"), F.col("list_element.row").alias("_row"))))
+    still_open = _with_sessions(opened(pieces.toDF("_at", "_row")), key, wide)
     path = shared_path(spark, "open-traces")
     _merged(still_open, key, order).write.parquet(path)
     return done.unionByName(spark.read.schema(done.schema).parquet(path))
