@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from querysentry.llm.frames import doc_columns, steps
-from querysentry.llm.pretokens import word_encoder
+from querysentry.llm.pretokens import MEMORY, word_encoder
 
 CAPACITY = 4096
 #: Rests dealt out together: the heap, slots and partitions of one deal stay under some tens of MB.
@@ -75,13 +75,17 @@ def differencing(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def windows_for(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, int]:
-    """Window of every item and the number of windows, which rises until none exceeds the capacity."""
+    """Window of every item and the number of windows, which rises until none exceeds the capacity.
+
+    It rises by what the fullest window is over, since the others are about as full.
+    """
     k = max(1, -(-int(sizes.sum()) // capacity))
     while True:
         slot, sums = differencing(sizes, k)
-        if sums.max(initial=0) <= capacity:
+        most = int(sums.max(initial=0))
+        if most <= capacity:
             return slot, k
-        k += 1
+        k = max(k + 1, k * most // capacity)
 
 
 def _pieces(doc_id, ids: np.ndarray, capacity: int):
@@ -91,14 +95,14 @@ def _pieces(doc_id, ids: np.ndarray, capacity: int):
 
 def pack_documents(
     docs: DataFrame, model_file: str, end_id: int, cut: str = "space", capacity: int = CAPACITY, group: int = GROUP,
-    with_ids: bool = True, text: str = "text", key: str = "doc_id",
+    with_ids: bool = True, text: str = "text", key: str = "doc_id", memory: int = MEMORY,
 ) -> DataFrame:
     """One row a piece: its place in its document and its window; ids are little-endian 32-bit (or null)."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, first = word_encoder(model_file, cut), TaskContext.get().partitionId() << 32
+        encoder, first = word_encoder(model_file, cut, memory), TaskContext.get().partitionId() << 32
         rests = []
 
         def rows(pieces, sequences, offsets):

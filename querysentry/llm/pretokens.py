@@ -44,7 +44,7 @@ def _visible_bytes() -> dict[int, str]:
 class WordEncoder:
     """Ids of texts as ``encode(text, add_special_tokens=False)`` gives them."""
 
-    def __init__(self, model_file: str, cut: str):
+    def __init__(self, model_file: str, cut: str, memory: int = MEMORY):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -55,6 +55,7 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.memory = memory
         self.cut, self.alphabet, self.lower = cut, _visible_bytes(), cut == "space"
         self.check()
 
@@ -76,8 +77,22 @@ class WordEncoder:
         self.places[b""] = self.used = 0
         self.known = 1
         self.marks: dict[str, list[int]] = {"": []}
+        self.letters: dict[str, list[int]] = {}
         self.newline = self.whole("\n")
 
+    def _ids_of_letters(self, letters: str) -> list[int]:
+        """Ids of one pre-token of letters, from the model itself."""
+        shown = letters.lower() if self.lower else letters
+        if shown.isascii():
+            shown = shown.replace(" ", self.alphabet[0x20])
+        else:
+            shown = "".join(map(self.alphabet.__getitem__, shown.encode()))
+        # Letters are remembered for words that differ in marks only.
+        if len(self.letters) >= self.memory // 4:
+            self.letters.clear()
+        found = self.letters[letters] = [t.id for t in self.model.tokenize(shown)]
+        return found
+
     def _ids_of(self, word: str) -> list[int]:
         found = _PLAIN.fullmatch(word)
         if found is None:
@@ -86,25 +101,25 @@ class WordEncoder:
                 return list(chain(self._ids_of(lines[0]), *(self.newline + self._ids_of(x) for x in lines[1:])))
             return self.whole(word)
         letters, mark = found.groups()
+        ids = self.letters.get(letters)
+        if ids is None:
+            ids = self._ids_of_letters(letters)
+        if not mark:
+            return ids
         if mark not in self.marks:
             self.marks[mark] = self.whole(mark)
-        if self.lower:
-            letters = letters.lower()
-        if letters.isascii():
-            shown = letters.replace(" ", self.alphabet[0x20])
-        else:
-            shown = "".join(map(self.alphabet.__getitem__, letters.encode()))
-        return [t.id for t in self.model.tokenize(shown)] + self.marks[mark]
+        return ids + self.marks[mark]
 
     def _learn(self, words: list[bytes]) -> None:
-        lists = []
+        lists, places, known, blank = [], self.places, self.known, self.cut == "blank"
         for raw in words:
             word = raw.decode()
-            bare = word.removeprefix(" ")
-            if self.cut == "blank" and (not bare or bare[0].isspace() or bare[-1].isspace()):
-                self.places[raw] = _WHOLE
-                continue
-            self.places[raw] = self.known + len(lists)
+            if blank and not word.isalpha():
+                bare = word.removeprefix(" ")
+                if not bare or bare[0].isspace() or bare[-1].isspace():
+                    places[raw] = _WHOLE
+                    continue
+            places[raw] = known + len(lists)
             lists.append(self._ids_of(word))
         if lists:
             ends = self.used + np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))
@@ -134,7 +149,7 @@ class WordEncoder:
 
     def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
         """Ids of each text."""
-        if len(self.places) > MEMORY:
+        if len(self.places) > self.memory:
             self._start()
         if not isinstance(texts, pa.Array):
             texts = pa.array(texts, pa.string())
@@ -157,5 +172,5 @@ def _grown(array: np.ndarray, size: int) -> np.ndarray:
     return array if size <= len(array) else np.concatenate([array, np.zeros(max(len(array), size - len(array)), array.dtype)])
 
 
-def word_encoder(model_file: str, cut: str) -> WordEncoder:
-    return kept_in_process(("words", model_file, cut), lambda: WordEncoder(model_file, cut))
+def word_encoder(model_file: str, cut: str, memory: int = MEMORY) -> WordEncoder:
+    return kept_in_process(("words", model_file, cut, memory), lambda: WordEncoder(model_file, cut, memory))
