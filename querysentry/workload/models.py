@@ -287,24 +287,43 @@ def score_lof(spark, sf_dir):
 
 
 _TECHNIQUES = "o_orderpriority"
-_MODELS = [f"{m}-{v}" for v in registry.VOCABULARIES for m in ("ae", "svm", "lof")] + ["ae_ruleid", "svm_ruleid"]
 
 
-@query(
-    "evaluate_grid",
-    f"""WITH o AS (SELECT o.* FROM orders o WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)),
+def _grid_sql(models: list[str]) -> str:
+    return f"""WITH o AS (SELECT o.* FROM orders o WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)),
 c AS (SELECT COUNT(*) FILTER (o_orderkey % 10 >= 7) AS n_test, COUNT(*) FILTER (o_orderkey % 10 BETWEEN 5 AND 6) AS n_val,
  COUNT(*) FILTER (o_orderkey % 10 >= 7 AND o_orderstatus = 'F') AS n_odd,
  COUNT(DISTINCT CASE WHEN o_orderkey % 10 >= 7 AND o_orderstatus = 'F' THEN {_TECHNIQUES} END) AS n_techniques FROM o)
 SELECT m.model, n_test, n_val, n_odd, n_techniques, TRUE AS rate_held, TRUE AS consistent, TRUE AS in_range
-FROM c, (SELECT unnest([{", ".join(f"'{m}'" for m in _MODELS)}]) AS model) m""",
-)
+FROM c, (SELECT unnest([{", ".join(f"'{m}'" for m in models)}]) AS model) m"""
+
+
+@query("evaluate_grid", _grid_sql([f"{m}-{v}" for v in registry.VOCABULARIES for m in ("ae", "svm", "lof")]))
 def evaluate_grid(spark, sf_dir):
-    """Three classifiers on the trace and lexical features of all vocabularies, two on the rule counts.
+    """Three classifiers on the trace and lexical features of all vocabularies."""
+    return _grid(spark, sf_dir, registry.VOCABULARIES, True, {"ae": _ae, "svm": _svm})
+
+
+@query("evaluate_grid_ruleid", _grid_sql(["ae_ruleid", "svm_ruleid"]))
+def evaluate_grid_ruleid(spark, sf_dir):
+    """Two classifiers on the counts of 1,013 rules."""
+    return _grid(spark, sf_dir, [], False, {"ae_ruleid": _ae, "svm_ruleid": _svm})
+
+
+def _ae(mode):
+    return AE.AutoencoderPlan(f"ae-{mode}", registry.feature_order(mode, True))
 
-    Full epochs and steps. The report's numbers have no SQL twin, so it is returned as what
-    must hold: counts, the rate of validation rows above the threshold, F1 from precision
-    and recall, areas and intervals in range.
+
+def _svm(mode):
+    return OC.OneClassPlan(f"svm-{mode}", registry.feature_order(mode, True))
+
+
+def _grid(spark, sf_dir, vocabularies, with_lof, plans):
+    """A grid with full epochs and steps.
+
+    The report's numbers have no SQL twin, so it is returned as what must hold: counts, the
+    rate of validation rows above the threshold, F1 from precision and recall, areas and
+    rates in range.
     """
 
     def features(mode):
@@ -333,19 +352,11 @@ def evaluate_grid(spark, sf_dir):
         joined = S.assemble_mode(lexical_features(rows.join(orders, "stmt_id")), mode, True, keep, sparse=mode == "ruleid")
         return joined.withColumnRenamed("stmt_id", "row_id")
 
-    def ae(mode):
-        return AE.AutoencoderPlan(f"ae-{mode}", registry.feature_order(mode, True))
-
-    def svm(mode):
-        return OC.OneClassPlan(f"svm-{mode}", registry.feature_order(mode, True))
-
     def lof(train, rows, mode):
         scaled = S.apply_scaler(train, scaler := S.fit_max_abs(train))
         return NN.score_lof(S.apply_scaler(rows, scaler), scaled, NN.fit_lof(scaled))
 
-    report, scores = E.evaluate_grid(
-        features, {"lof": lof}, registry.VOCABULARIES, plans={"ae": ae, "svm": svm, "ae_ruleid": ae, "svm_ruleid": svm}
-    )
+    report, scores = E.evaluate_grid(features, {"lof": lof} if with_lof else {}, vocabularies, plans=plans)
     counts = scores.groupBy("model").agg(
         F.count_if(F.col("split") == "test").alias("n_test"),
         F.count_if(F.col("split") == "val").alias("n_val"),
