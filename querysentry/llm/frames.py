@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -32,6 +33,21 @@ def kept_in_process(key: tuple, make: Callable):
     return home[key]
 
 
+def forget_kept() -> None:
+    """Let go of what earlier stages left in this process, number tables apart.
+
+    What is free then goes back to the machine: executors share a bounded memory with their
+    workers, busy and idle ones, which otherwise hold on to the largest size any stage needed.
+    """
+    home = sys.modules.setdefault("_querysentry_kept", types.ModuleType("_querysentry_kept")).__dict__
+    for old in [k for k in home if isinstance(k, tuple) and k[0] != "powers"]:
+        del home[old]
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -49,19 +65,25 @@ def steps(batch: pa.RecordBatch, text: str = "text", limit: int = STEP_BYTES) ->
         start, base = stop, int(ends[stop - 1])
 
 
-def map_steps(df: DataFrame, columns: list, run: Callable, schema: str, limit: int = STEP_BYTES) -> DataFrame:
+def map_steps(df: DataFrame, columns: list, run: Callable, schema: str, limit: int = STEP_BYTES, keeps: bool = False) -> DataFrame:
     """``run`` on bounded Arrow slices of ``columns`` (which must hold ``text``).
 
     Nulls in ``text`` are empty texts. Rows stay in their partitions, so nothing is
-    shuffled and a lost task is simply run again.
+    shuffled and a lost task is simply run again. A stage that ``keeps`` nothing in its
+    process drops what an earlier one kept there.
     """
 
     def each(batches):
+        if not keeps:
+            forget_kept()
         for batch in batches:
             for part in steps(batch, limit=limit):
                 made = run(part)
                 if made is not None and made.num_rows:
                     yield made
+        if not keeps:
+            batch = part = made = None
+            forget_kept()
 
     return df.select(*columns).mapInArrow(each, schema)
 

@@ -8,10 +8,12 @@ each, and similar sets share at least ``similarity`` of either: so a set's prefi
 ``l`` of least estimated cost; two sets must share as many prefix shingles as the lesser of
 both asks before they are verified exactly.
 
-How many sets hold a shingle is counted by buckets of shingles, dealt with the sets' ids; a
-shingle of one set only comes first in any order and meets nothing, so it is only counted.
-A set with too few shared shingles to reach the similarity with anyone goes at once. Common
-shingles (``HEAVY``) are dealt by set instead: their counts are added up beforehand.
+A first round takes hash order and one ``l`` for sets of a size, and only asks whether a set
+meets others often enough at all; most don't and go. For the rest (their texts are read again) it is
+counted how many sets hold each shingle. A shingle of one set only comes first in any order
+and meets nothing, so it is only counted; a set with too few shared shingles to reach the
+similarity with anyone goes too. Common shingles (``HEAVY``) are not gathered in either
+round: their counts are added up beforehand.
 
 Sets linked by prefix lists form candidate classes. A class meets in one task, each set
 once, as inverted lists; sets that are connected already are not verified again. A class
@@ -28,8 +30,6 @@ their names, are not read. Shingles and sets are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -40,16 +40,16 @@ from querysentry.llm.frames import doc_columns, map_steps, store
 from querysentry.llm.near_copies import _set_ids, shingle_sets
 from querysentry.llm.sorted_groups import borders, map_groups
 
-#: Shingles of one bucket, about: 12 bytes each while counted.
-BUCKET_SHINGLES = 1 << 21
 #: Sets from which on a shingle is common; at most 2**20 shingles are, whatever the data.
 HEAVY, MOST_HEAVY = 1 << 16, 1 << 20
 #: The most prefix shingles that a set may ask to be shared.
 MAX_MATCHES = 16
 #: Sets and shared shingles that meet in one task, at most (but one set of each side at least).
-MAX_SETS, MAX_SHINGLES = 8_192, 1 << 21
-#: Text that one step of the dealing task works on.
-DEAL_BYTES = 4 << 20
+MAX_SETS, MAX_SHINGLES = 4_096, 1 << 20
+#: The first round asks for a match in so many shingles of a set.
+FIRST_SHARE = 10
+#: Documents that are looked up by broadcast, at most: 16 bytes each.
+MAX_SENT = 200_000
 #: A set with more documents than this, and more than a hundred-thousandth of all, is looked up by broadcast.
 MANY_COPIES = 10_000
 
@@ -71,7 +71,7 @@ def _first_of_step(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def set_prints(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, set_id, n) of every row; a step's first row also lists the shingles common in that step."""
+    """(doc_id, text_hash, set_id, n) of every row; a step's first row also lists the shingles common in that step."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys, offsets = shingle_sets(batch.column("text"), words)
@@ -81,12 +81,17 @@ def set_prints(docs: DataFrame, words: int) -> DataFrame:
         common = np.flatnonzero(count >= max(16, len(own) // 16))
         ends = np.full(batch.num_rows, len(common))
         columns = [
-            batch.column("doc_id"), pa.array(ids), pa.array(np.diff(offsets)),
+            batch.column("doc_id"), batch.column("text_hash"), pa.array(ids), pa.array(np.diff(offsets)),
             _lists(held[common].view(np.int64), ends), _lists(count[common], ends),
         ]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "set_id", "n", "common", "held"])
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "set_id", "n", "common", "held"])
+
+    schema = "doc_id bigint, text_hash bigint, set_id bigint, n bigint, common array<bigint>, held array<bigint>"
+    return map_steps(_named(docs), ["doc_id", "text_hash", "text"], run, schema)
 
-    return map_steps(docs, doc_columns(), run, "doc_id bigint, set_id bigint, n bigint, common array<bigint>, held array<bigint>")
+
+def _named(docs: DataFrame) -> DataFrame:
+    return docs.select(*doc_columns()).withColumn("text_hash", F.xxhash64("text"))
 
 
 def _heavy(prints: DataFrame, total: int, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,61 +101,62 @@ def _heavy(prints: DataFrame, total: int, least: int) -> tuple[np.ndarray, np.nd
     return found["common"].to_numpy(np.int64), found["held"].to_numpy(np.int64)
 
 
-def shared_shingles(docs: DataFrame, words: int, buckets: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(set_id, n, k, shingles, held): of each set and bucket the shingles that other sets hold too, and by how many."""
-    sent = docs.sparkSession.sparkContext.broadcast(heavy)
+def needed(n, similarity: int):
+    """How many shingles a set of ``n`` must share with any similar set."""
+    return -(-similarity * n // 100)
+
+
+def shared_shingles(texts: DataFrame, words: int, heavy: tuple[np.ndarray, np.ndarray], first_of: int | None = None) -> DataFrame:
+    """(set_id, n, shingle, held): the shingles of each set that other sets hold too, and how many sets do.
+
+    With ``first_of`` (a similarity) only the shingles of the first round's prefixes are looked at.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(heavy)
 
     def deal(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys, offsets = shingle_sets(batch.column("text"), words)
         ids, sizes = _set_ids(keys, offsets), np.diff(offsets)
         own = _first_of_step(ids, offsets)
-        keys = keys[_ranges(offsets[own], sizes[own])].view(np.int64)
-        who = np.repeat(np.arange(len(own), dtype=np.int32), sizes[own])
-        bucket = keys.view(np.uint64) % np.uint64(buckets)
-        common = np.isin(keys, sent.value[0])
-        bucket[common] = np.uint64(buckets) + ids[own][who[common]].view(np.uint64) % np.uint64(buckets)
-        order = np.argsort(bucket, kind="stable")
-        bucket, keys, who = bucket[order], keys[order], who[order]
-        start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, int)
-        stop = np.append(start[1:], len(bucket))
-        rows = []
-        for a, b in zip(start.tolist(), stop.tolist()):
-            part, inverse = np.unique(who[a:b], return_inverse=True)
-            rows.append((int(bucket[a]), ids[own][part].tobytes(), sizes[own][part].astype(np.int64).tobytes(), inverse.astype(np.int32).tobytes(), keys[a:b].tobytes()))
-        columns = list(zip(*rows)) or [()] * 5
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", "sets", "sizes", "who", "keys"])
+        # A set's shingles are in the order of their hashes.
+        wanted = sizes[own] if first_of is None else sizes[own] - needed(sizes[own], first_of) + first_matches(sizes[own])
+        keys = keys[_ranges(offsets[own], wanted)].view(np.int64)
+        held = np.zeros(len(keys), np.int64)
+        at = np.searchsorted(sent.value[0], keys)
+        common = np.flatnonzero(at < len(sent.value[0]))
+        common = common[sent.value[0][at[common]] == keys[common]]
+        held[common] = sent.value[1][at[common]]
+        columns = [np.repeat(ids[own], wanted), np.repeat(sizes[own], wanted), keys, held]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["set_id", "n", "shingle", "held"])
 
     def count(table: pa.Table):
-        ends = borders(table, "bucket").tolist()
-        for a, b in zip(ends, ends[1:]):
-            rows = table.slice(a, b - a)
-            sets, sizes, who, keys = ([np.frombuffer(v.as_buffer(), t) for v in rows.column(c)] for c, t in
-                                      (("sets", np.int64), ("sizes", np.int64), ("who", np.int32), ("keys", np.int64)))
-            ids = np.concatenate([s[w] for s, w in zip(sets, who)])
-            n = np.concatenate([s[w] for s, w in zip(sizes, who)])
-            keys = np.concatenate(keys)
-            order = np.lexsort((ids, keys))
-            ids, n, keys = ids[order], n[order], keys[order]
-            new = np.ones(len(keys), bool)
-            new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
-            ids, n, keys = ids[new], n[new], keys[new]
-            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            held = np.diff(np.append(first, len(keys)))
-            if rows.column("bucket")[0].as_py() >= buckets:
-                held = sent.value[1][np.searchsorted(sent.value[0], keys[first])]
-            held = np.repeat(held, np.diff(np.append(first, len(keys))))
-            more = np.flatnonzero(held > 1)
-            more = more[np.argsort(ids[more], kind="stable")]
-            ids, n, keys, held = ids[more], n[more], keys[more], held[more]
-            start = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, int)
-            stop = np.append(start[1:], len(ids))[: len(start)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[start]), pa.array(n[start]), pa.array(stop - start), _lists(keys, stop), _lists(held, stop)],
-                names=["set_id", "n", "k", "shingles", "held"],
-            )
-
-    dealt = map_steps(docs, [doc_columns()[1]], deal, "bucket bigint, sets binary, sizes binary, who binary, keys binary", DEAL_BYTES)
-    return map_groups(dealt, "bucket", [], count, "set_id bigint, n bigint, k bigint, shingles array<bigint>, held array<bigint>")
+        ids, n, keys, held = (table.column(c).to_numpy() for c in ("set_id", "n", "shingle", "held"))
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
+        ids, n, keys, held = ids[new], n[new], keys[new], held[new]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        met = np.diff(np.append(first, len(keys)))
+        held = np.where(held > 0, held, np.repeat(met, met))
+        more = held > 1
+        columns = [pa.array(c[more]) for c in (ids, n, keys, held)]
+        yield pa.RecordBatch.from_arrays(columns, names=["set_id", "n", "shingle", "held"])
+
+    schema = "set_id bigint, n bigint, shingle bigint, held bigint"
+    dealt = map_steps(texts, ["text"], deal, schema)
+    # Common shingles are dealt by set: how many sets hold them is known.
+    place = F.when(F.col("held") > 0, F.xxhash64("set_id")).otherwise(F.col("shingle"))
+    return map_groups(dealt.withColumn("place", place), "place", ["shingle", "set_id"], count, schema)
+
+
+def first_matches(n):
+    """The matches that the first round asks of a set of ``n``."""
+    return np.maximum(1, n // FIRST_SHARE)
+
+
+def meeting_sets(texts: DataFrame, words: int, similarity: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(set_id) of the sets that share enough prefix shingles with others: as many as the least of the similar sets asks for."""
+    met = shared_shingles(texts, words, heavy, first_of=similarity).groupBy("set_id").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("k"))
+    least = F.ceil(F.col("n") * similarity / 100)
+    return met.filter(F.col("k") >= F.greatest(F.lit(1), F.floor(least / FIRST_SHARE))).select("set_id")
 
 
 def matches_and_prefix(n: int, held: np.ndarray, similarity: int) -> tuple[int, int]:
@@ -159,9 +165,9 @@ def matches_and_prefix(n: int, held: np.ndarray, similarity: int) -> tuple[int,
     ``held`` tells how many sets hold each of them, ascending. A prefix that meets ``m`` list
     entries reads ``m`` and verifies at most ``m / l`` sets, as each must be met ``l`` times.
     """
-    needed = -(-similarity * n // 100)
-    asked = np.arange(1, min(MAX_MATCHES, needed) + 1)
-    length = np.clip(len(held) - needed + asked, 0, len(held))
+    least = needed(n, similarity)
+    asked = np.arange(1, min(MAX_MATCHES, least) + 1)
+    length = np.clip(len(held) - least + asked, 0, len(held))
     met = np.concatenate([[0], np.cumsum(held - 1)])[length]
     best = int(np.argmin(met * (1 + n / asked)))
     return int(asked[best]), int(length[best])
@@ -169,25 +175,24 @@ def matches_and_prefix(n: int, held: np.ndarray, similarity: int) -> tuple[int,
 
 def prefixed_sets(shared: DataFrame, similarity: int) -> DataFrame:
     """(set_id, n, matches, prefix, shingles) of the sets that can have a partner; shingles in the common order."""
-    enough = shared.groupBy("set_id").agg(F.sum("k").alias("k"), F.max("n").alias("size")).filter(F.col("k") * 100 >= similarity * F.col("size"))
-    rows = shared.join(enough.select("set_id"), "set_id")
 
     def order(table: pa.Table):
         ends = borders(table, "set_id").tolist()
-        ids, n = table.column("set_id").to_numpy(), table.column("n").to_numpy()
-        shingles, held = table.column("shingles").combine_chunks(), table.column("held").combine_chunks()
+        ids, n, keys, held = (table.column(c).to_numpy() for c in ("set_id", "n", "shingle", "held"))
         made = []
         for a, b in zip(ends, ends[1:]):
-            keys = shingles.slice(a, b - a).flatten().to_numpy()
-            by = held.slice(a, b - a).flatten().to_numpy()
-            at = np.lexsort((keys, by))
-            made.append((ids[a], n[a], *matches_and_prefix(int(n[a]), by[at], similarity), keys[at]))
+            new = np.ones(b - a, bool)
+            new[1:] = keys[a + 1 : b] != keys[a : b - 1]
+            own, by = keys[a:b][new], held[a:b][new]
+            if len(own) >= needed(n[a], similarity):
+                at = np.lexsort((own, by))
+                made.append((ids[a], n[a], *matches_and_prefix(int(n[a]), by[at], similarity), own[at]))
         if made:
-            *plain, keys = zip(*made)
-            columns = [pa.array(c, pa.int64()) for c in plain] + [_lists(np.concatenate(keys), np.cumsum([len(k) for k in keys]))]
+            *plain, lists = zip(*made)
+            columns = [pa.array(c, pa.int64()) for c in plain] + [_lists(np.concatenate(lists), np.cumsum([len(k) for k in lists]))]
             yield pa.RecordBatch.from_arrays(columns, names=["set_id", "n", "matches", "prefix", "shingles"])
 
-    return map_groups(rows, "set_id", [], order, "set_id bigint, n bigint, matches bigint, prefix bigint, shingles array<bigint>")
+    return map_groups(shared, "set_id", ["shingle"], order, "set_id bigint, n bigint, matches bigint, prefix bigint, shingles array<bigint>")
 
 
 def join_block(
@@ -331,14 +336,20 @@ def similar_links(sets: DataFrame, similarity: int = 80, max_sets: int = MAX_SET
 
 
 def similar_documents(
-    docs: DataFrame, words: int = 5, similarity: int = 80, bucket_shingles: int = BUCKET_SHINGLES, heavy: int = HEAVY,
-    max_sets: int = MAX_SETS, max_shingles: int = MAX_SHINGLES,
+    docs: DataFrame, words: int = 5, similarity: int = 80, heavy: int = HEAVY, max_sets: int = MAX_SETS, max_shingles: int = MAX_SHINGLES,
+    max_sent: int = MAX_SENT,
 ) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable by links, itself included) of every row."""
     prints = store(set_prints(docs, words), "join-prints")
     rows, total = prints.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    shared = store(shared_shingles(docs, words, max(1, math.ceil(total / bucket_shingles)), _heavy(prints, total, heavy)), "join-shared")
-    sets = store(prefixed_sets(shared, similarity), "join-sets")
+    common, texts = _heavy(prints, total, heavy), _named(docs)
+    # One document of each set that meets others.
+    name = F.min(F.struct("doc_id", "text_hash")).alias("name")
+    named = prints.join(meeting_sets(texts, words, similarity, common), "set_id", "left_semi").groupBy("set_id").agg(name)
+    named = store(named.select(F.col("name.doc_id").alias("id"), F.col("name.text_hash").alias("hash")), "join-meeting")
+    few = F.broadcast(named) if named.limit(max_sent + 1).count() <= max_sent else named
+    again = texts.join(few, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left_semi")
+    sets = store(prefixed_sets(shared_shingles(again, words, common), similarity), "join-sets")
     roots = connected_components(similar_links(sets, similarity, max_sets, max_shingles)).withColumnRenamed("node", "set_id")
     full = prints.select("doc_id", "set_id", "n").filter("n > 0")
     distinct = full.groupBy("set_id").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))

@@ -9,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 
+from querysentry.llm.frames import forget_kept
+
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Tables that hold every row of the groups in them, from batches sorted by ``key``.
@@ -40,8 +42,11 @@ def map_groups(df: DataFrame, key: str, order: list, run: Callable, schema: str)
     """
 
     def each(batches):
+        forget_kept()
         for part in whole_groups(batches, key):
             yield from run(part)
+        part = None
+        forget_kept()
 
     return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(each, schema)
 

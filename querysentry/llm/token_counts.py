@@ -127,4 +127,4 @@ def token_counts(
             names=["doc_id", "n_bytes", "n_tokens", "over_limit", "n_chunks", "n_widened"],
         )
 
-    return map_steps(docs, doc_columns(text, key), run, SCHEMA)
+    return map_steps(docs, doc_columns(text, key), run, SCHEMA, keeps=True)

@@ -285,4 +285,4 @@ def score(docs: DataFrame, model: dict, threshold: float = 0.7, text: str = "tex
         ]
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "score", "predicted", "n_abuse", "n_quoted"])
 
-    return map_steps(docs, doc_columns(text, key), run, "doc_id bigint, score double, predicted int, n_abuse bigint, n_quoted bigint")
+    return map_steps(docs, doc_columns(text, key), run, "doc_id bigint, score double, predicted int, n_abuse bigint, n_quoted bigint", keeps=True)

@@ -248,7 +248,7 @@ def near_texts():
     return rows + [(None, PROSE), (None, "only null keys hold this text and nobody else"), (3, texts[3]), (3, texts[3]), (4, PROSE)]
 
 
-@pytest.mark.parametrize("bounds", [{}, {"bucket_shingles": 300, "heavy": 30, "max_sets": 6, "max_shingles": 900}])
+@pytest.mark.parametrize("bounds", [{}, {"heavy": 30, "max_sets": 6, "max_shingles": 900, "max_sent": 0}])
 def test_similarity_join(spark, bounds):
     texts = near_texts()
     got = jaccard_join.similar_documents(frame(spark, texts), **bounds)
