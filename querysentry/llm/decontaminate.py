@@ -19,13 +19,15 @@ whatever their numbers, names, units and letter case.
 Defined cases: null and blank texts have no windows; items shorter than a window are
 matched by one window of their own length, from ``SHORT`` words on also as a template, and
 below ``WHOLE`` words only where they are the whole document;
-repeated documents and items give a row each; rows without a key are never matched; an
+rows are told apart by key and text, so repeated keys lose no text, repeated rows count as
+one, and a document without a key matches like any other (an item without one does not); an
 empty table on either side gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -37,6 +39,8 @@ from pyspark.sql import functions as F
 from querysentry.llm.frames import doc_columns, kept_in_process, map_steps, store
 
 WINDOW = 8
+#: Words that one worker remembers.
+MEMORY = 500_000
 #: Literal words a window holds at least.
 LITERAL = 5
 #: Windows on one alignment that make a match (or all windows of a shorter item).
@@ -62,6 +66,8 @@ _UNITS = frozenset(
 #: A line feed is a word of its own, as it may begin a sentence.
 _WORD = re.compile(r"[^\x20\x09-\x0D]+|\n")
 _ENDS, _OPENS = ".!?:\n", "\"'“„«‘‚‹»"
+_MARKS = ".,;:!?"
+_COUNTED = _NUMBERS | _UNITS
 _CORE = re.compile(r"\w(?:.*\w)?", re.DOTALL)
 _DIGITS = re.compile(r"[$€£]?[+-]?\d[\d.,:/]*%?(?:st|nd|rd|th)?")
 _DIGIT_UNIT = re.compile(r"([+-]?\d[\d.,]*)([a-z%°]+)")
@@ -104,11 +110,10 @@ class Templates:
     words such as "5km".
     """
 
-    MEMORY = 500_000
     LITERAL_WORD, NUMBER_WORD, UNIT_WORD, MARKS, JOINT = range(5)
 
-    def __init__(self, size: int = WINDOW, literal: int = LITERAL):
-        self.size, self.literal = size, literal
+    def __init__(self, size: int = WINDOW, literal: int = LITERAL, memory: int = MEMORY):
+        self.size, self.literal, self.memory = size, literal, memory
         self.special = np.array([_hash(k) for k in (NUMBER, UNIT, NAME)], np.uint64)
         self._start()
 
@@ -118,29 +123,45 @@ class Templates:
         self.kinds, self.hashes = np.zeros(1024, np.int8), np.zeros(1024, np.uint64)
         self.ends, self.capital = np.zeros(1024, bool), np.zeros(1024, bool)
 
-    def _learn(self, raw: str) -> None:
-        at = len(self.values)
-        if at == len(self.kinds):
-            self.kinds, self.hashes, self.ends, self.capital = (
-                np.concatenate([x, np.zeros_like(x)]) for x in (self.kinds, self.hashes, self.ends, self.capital)
-            )
-        # Most words are letters, perhaps with a mark behind them.
-        core = raw if raw.isalpha() else raw[:-1] if raw[-1] in ".,;:!?" and raw[:-1].isalpha() else None
-        if core is not None:
-            value = core.lower()
-            kind = self.NUMBER_WORD if value in _NUMBERS else self.UNIT_WORD if value in _UNITS else self.LITERAL_WORD
-            self.capital[at] = kind != self.NUMBER_WORD and core[0].isupper() and not core.isupper()
-        else:
-            template, values = canonical("x " + raw)
-            kind, value = self.MARKS if len(template) == 1 else self.JOINT, ""
+    def _learn(self, unknown: set[str]) -> None:
+        """Classify words. Most are letters, perhaps with a mark behind them; those are done together."""
+        raws, cores, odd = [], [], []
+        for raw in unknown:
+            if raw.isalpha():
+                raws.append(raw)
+                cores.append(raw)
+            elif raw[-1] in _MARKS and raw[:-1].isalpha():
+                raws.append(raw)
+                cores.append(raw[:-1])
+            else:
+                odd.append(raw)
+        values = [core.lower() for core in cores]
+        kinds = [self.LITERAL_WORD] * len(values)
+        for k, value in enumerate(values):
+            if value in _COUNTED:
+                kinds[k] = self.NUMBER_WORD if value in _NUMBERS else self.UNIT_WORD
+        capital = [core != value and core[0].isupper() and not core.isupper() and kind != self.NUMBER_WORD for core, value, kind in zip(cores, values, kinds)]
+        for raw in odd:
+            template, found = canonical("x " + raw)
+            kind, value, name = self.MARKS if len(template) == 1 else self.JOINT, "", False
             if len(template) == 2:
-                value = values[1]
-                self.capital[at] = template[1] == NAME
+                value, name = found[1], template[1] == NAME
                 unit = canonical("x 1 " + raw)[0][-1] == UNIT
                 kind = self.NUMBER_WORD if template[1] == NUMBER else self.UNIT_WORD if unit else self.LITERAL_WORD
-        self.places[raw] = at
-        self.values.append(value)
-        self.kinds[at], self.hashes[at], self.ends[at] = kind, _hash(value), raw[-1] in _ENDS or kind == self.MARKS and raw[0] in _OPENS
+            raws.append(raw)
+            values.append(value)
+            kinds.append(kind)
+            capital.append(name)
+        at, stop = len(self.values), len(self.values) + len(raws)
+        while stop > len(self.kinds):
+            self.kinds, self.hashes, self.ends, self.capital = (
+                np.concatenate([x, np.zeros_like(x)]) for x in (self.kinds, self.hashes, self.ends, self.capital)
+            )
+        self.places.update(zip(raws, range(at, stop)))
+        self.values += values
+        self.kinds[at:stop], self.capital[at:stop] = kinds, capital
+        self.hashes[at:stop] = np.fromiter(map(_hash, values), np.uint64, len(values))
+        self.ends[at:stop] = [r[-1] in _ENDS or k == self.MARKS and r[0] in _OPENS for r, k in zip(raws, kinds)]
 
     def template(self, text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """Hashes of the template's words, which of them are slots, and their values."""
@@ -148,40 +169,88 @@ class Templates:
 
     def _template(self, text: str) -> tuple:
         """Hashes of the template's words, which of them are slots, their values, and the plain words' hashes."""
-        if len(self.places) > self.MEMORY:
+        hashes, slots, at, plain, _, joint = self._templates([text])
+        return self._by_canonical(text) if joint[0] else (hashes, slots, _Values(self.values, at), plain)
+
+    def _by_canonical(self, text: str) -> tuple:
+        template, values = canonical(text)
+        return np.array([_hash(t) for t in template], np.uint64), np.array([t[0] == "\x01" for t in template], bool), values, np.array([_hash(v) for v in values], np.uint64)
+
+    def _templates(self, texts: list[str]) -> tuple:
+        """The same for many texts, one after the other: the words' places in the memory instead of values, the text of
+        each word, and which texts have joint words (what stands for those means nothing)."""
+        if len(self.places) > self.memory:
             self._start()
-        words = _WORD.findall(text)
-        for raw in set(words).difference(self.places):
-            self._learn(raw)
+        found = list(map(_WORD.findall, texts))
+        words = list(chain.from_iterable(found))
+        unknown = set(words).difference(self.places)
+        if unknown:
+            self._learn(unknown)
         at = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
+        doc = np.repeat(np.arange(len(texts)), np.fromiter(map(len, found), np.int64, len(found)))
         kinds = self.kinds[at]
-        if (kinds == self.JOINT).any():
-            template, values = canonical(text)
-            return np.array([_hash(t) for t in template], np.uint64), np.array([t[0] == "\x01" for t in template], bool), values, np.array([_hash(v) for v in values], np.uint64)
+        joint = np.bincount(doc[kinds == self.JOINT], minlength=len(texts)) > 0
         own = np.flatnonzero(kinds != self.MARKS)
         ended = np.concatenate([[0], np.cumsum(self.ends[at])])
-        begins = np.ones(len(own), bool)
-        begins[1:] = ended[own[1:]] > ended[own[:-1]]
-        if len(own):
-            begins[0] = True
-        kinds, at = kinds[own], at[own]
+        kinds, at, doc = kinds[own], at[own], doc[own]
+        first = np.ones(len(own), bool)
+        first[1:] = doc[1:] != doc[:-1]
+        begins = first.copy()
+        begins[1:] |= ended[own[1:]] > ended[own[:-1]]
         number = kinds == self.NUMBER_WORD
-        unit = np.concatenate([np.zeros(min(1, len(own)), bool), (kinds[1:] == self.UNIT_WORD) & number[:-1]])
+        unit = np.zeros(len(own), bool)
+        unit[1:] = (kinds[1:] == self.UNIT_WORD) & number[:-1] & ~first[1:]
         name = self.capital[at] & ~begins & ~unit
         plain = self.hashes[at]
         hashes = plain.copy()
         for slot, value in zip((number, unit, name), self.special):
             hashes[slot] = value
-        return hashes, number | unit | name, _Values(self.values, at), plain
+        return hashes, number | unit | name, at, plain, doc, joint
+
+    def known_windows(self, texts: list[str], sizes: tuple, known: np.ndarray) -> list[tuple]:
+        """(text, place, size, hash, plain, slots or none, words) of the windows whose hashes are known."""
+        hashes, slots, at, plain, doc, joint = self._templates(texts)
+        lengths, values = np.bincount(doc, minlength=len(texts)), _Values(self.values, at)
+        starts, before = np.cumsum(lengths) - lengths, np.concatenate([[0], np.cumsum(slots)])
+        made = []
+        for wanted in sizes:
+            size = wanted or self.size
+            n = len(hashes) - size + 1
+            if n <= 0:
+                continue
+            whole = (doc[:n] == doc[size - 1 :]) & ~joint[doc[:n]]
+            if size < WHOLE:
+                whole &= lengths[doc[:n]] == size
+            enough = whole & (size - (before[size:] - before[:-size]) >= min(self.literal, size - 1)) if size >= SHORT else None
+            for kind, of, good in ((0, hashes, enough), (1, plain, whole)):
+                if good is None:
+                    continue
+                window = _joined(of, size, kind)
+                hit = np.flatnonzero(good & (known[np.minimum(np.searchsorted(known, window), len(known) - 1)] == window))
+                for k, h in zip(hit.tolist(), window[hit].view(np.int64).tolist()):
+                    d = int(doc[k])
+                    made.append((d, k - int(starts[d]), size, h, None if kind else _slot_text(slots, values, k, size), int(lengths[d])))
+        for d in np.flatnonzero(joint).tolist():
+            template = self._by_canonical(texts[d])
+            for wanted in sizes:
+                places, hashes, slots, values, plain, size = self.windows(texts[d], wanted or self.size, False, template)
+                hit = known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
+                made += [
+                    (d, a, size, h, None if p else _slot_text(slots, values, a, size), len(values))
+                    for a, h, p in zip(places[hit].tolist(), hashes[hit].view(np.int64).tolist(), plain[hit].tolist())
+                ]
+        return made
 
-    def windows(self, text: str, size: int | None = None, whole: bool = False):
+    def windows(self, text: str, size: int | None = None, whole: bool = False, template: tuple | None = None):
         """Places, hashes, slots and values of the windows, which are plain, and their size.
 
+        A ``template`` made before serves windows of several sizes.
+
         Template windows hold enough literal words; plain windows are any words as they are.
         ``whole`` takes a text shorter than a window as one window; from ``SHORT`` words on it
         also is a template, and one below ``WHOLE`` words stands for a whole text.
         """
-        hashes, slots, values, plain = self._template(text)
+        hashes, slots, values, plain = template or self._template(text)
         size = size or self.size
         if whole and 0 < len(hashes) < size:
             size = len(hashes)
@@ -228,51 +297,58 @@ def _slot_text(slots: np.ndarray, values, at: int, size: int) -> str:
 
 
 def _window_rows(source: DataFrame, known: np.ndarray | None, sizes: tuple, whole: bool, settings: tuple) -> DataFrame:
-    """(doc_id, place, size, hash, slots, n_words; null slots are plain windows) of windows, only of known hashes if those are given."""
-    size, literal = settings
+    """(doc_id, text_hash, place, size, hash, slots, n_words; null slots are plain windows) of windows, only of known hashes if those are given."""
+    size, literal, memory = settings
     sent = source.sparkSession.sparkContext.broadcast(known) if known is not None else None
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        templates = kept_in_process(("templates", size, literal), lambda: Templates(size, literal))
+        templates = kept_in_process(("templates", *settings), lambda: Templates(*settings))
+        ids, named, texts = (batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "text"))
         made: list[tuple] = []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            if doc_id is None:
-                continue
+        if sent is not None and not whole:
+            made = [(ids[d], named[d], *window) for d, *window in templates.known_windows(texts, sizes, sent.value)]
+            texts = []
+        for doc_id, name, text in zip(ids, named, texts):
+            template = templates._template(text)
             for wanted in sizes:
-                at, hashes, slots, values, plain, own = templates.windows(text, wanted or size, whole)
+                at, hashes, slots, values, plain, own = templates.windows(text, wanted or size, whole, template)
                 if sent is not None and len(hashes):
                     found = sent.value[np.minimum(np.searchsorted(sent.value, hashes), len(sent.value) - 1)] == hashes
                     at, hashes, plain = at[found], hashes[found], plain[found]
                 made += [
-                    (doc_id, a, own, h, None if p else _slot_text(slots, values, a, own), len(values))
+                    (doc_id, name, a, own, h, None if p else _slot_text(slots, values, a, own), len(values))
                     for a, h, p in zip(at.tolist(), hashes.view(np.int64).tolist(), plain.tolist())
                 ]
-        names = ["doc_id", "place", "size", "hash", "slots", "n_words"]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64()]
-        columns = list(zip(*made)) if made else [[]] * 6
+        names = ["doc_id", "text_hash", "place", "size", "hash", "slots", "n_words"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64()]
+        columns = list(zip(*made)) if made else [[]] * 7
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    return map_steps(source, ["doc_id", "text"], run, "doc_id bigint, place bigint, size int, hash bigint, slots string, n_words bigint")
+    schema = "doc_id bigint, text_hash bigint, place bigint, size int, hash bigint, slots string, n_words bigint"
+    return map_steps(source, ["doc_id", F.xxhash64("text").alias("text_hash"), "text"], run, schema, keeps=True)
 
 
 def _consistent(pairs) -> bool:
-    """True if equal item values stand for equal document values wherever the windows say so, both ways."""
-    there, back = {}, {}
+    """True if equal item values stand for equal document values wherever the windows say so.
+
+    Different item values may have become the same one.
+    """
+    there = {}
     for pair in pairs:
         for a, b in zip(pair["item_slots"].split("\n"), pair["slots"].split("\n")):
             place, _, x = a.partition("=")
             other, _, y = b.partition("=")
-            if place != other or there.setdefault(x, y) != y or back.setdefault(y, x) != x:
+            if place != other or there.setdefault(x, y) != y:
                 return False
     return True
 
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literal: int = LITERAL, min_windows: int = MIN_WINDOWS,
-    text: str = "text", key: str = "doc_id", item_key: str = "item_id", max_sent: int = MAX_SENT,
+    text: str = "text", key: str = "doc_id", item_key: str = "item_id", max_sent: int = MAX_SENT, memory: int = MEMORY,
 ) -> DataFrame:
-    """One row per document and item that match: doc_id, item_id, n_windows, n_changed, coverage."""
-    settings = (window, literal)
+    """One row per document (key and text) and item that match: doc_id, text_hash, item_id, n_windows, n_changed, coverage."""
+    settings = (window, literal, memory)
     items = benchmark.select(F.col(item_key).cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     known = store(_window_rows(items, None, (0,), True, settings), "template-windows")
     # One row per item and window; sizes other than the window's come from short items only.
@@ -284,7 +360,7 @@ def contaminated(
         hashes = np.sort(found)
         if not len(hashes):
             hashes = np.zeros(1, np.uint64)
-    source = docs.select(*doc_columns(text, key)).filter("doc_id is not null")
+    source = docs.select(*doc_columns(text, key))
     rows = _window_rows(source, hashes, sizes, False, settings)
     sides = known.select(
         F.col("doc_id").alias("item_id"), F.col("place").alias("item_place"), "hash", "size", F.col("slots").alias("item_slots"),
@@ -299,7 +375,7 @@ def contaminated(
     met = rows.join(sides, ["hash", "size"]).withColumn("shift", F.col("place") - F.col("item_place"))
     template, place = F.col("slots").isNotNull(), F.col("place")
     changed = template & (F.col("slots") != F.col("item_slots"))
-    chains = met.groupBy("doc_id", "item_id", "shift").agg(
+    chains = met.groupBy("doc_id", "text_hash", "item_id", "shift").agg(
         F.size(F.collect_set(place)).cast("bigint").alias("n_windows"), F.size(F.collect_set(F.when(template, place))).alias("n_template"),
         F.size(F.collect_set(F.when(~changed | ~template, place))).alias("unchanged"),
         F.max("item_words").alias("item_words"), F.max("size").alias("size"),
@@ -317,16 +393,20 @@ def contaminated(
     filled = (F.col("consistent") == 1) & (F.col("n_template") > 0) & (F.col("n_template") >= F.least(F.lit(min_windows), "templates"))
     judged = chains.join(F.broadcast(needed) if total <= max_sent else needed, "item_id")
     kept = judged.withColumn("consistent", consistent("changed")).withColumn("whole", filled | verbatim).filter((F.col("consistent") == 1) | verbatim)
-    return kept.groupBy("doc_id", "item_id").agg(
+    return kept.groupBy("doc_id", "text_hash", "item_id").agg(
         F.sum("n_windows").alias("n_windows"), F.sum("n_changed").alias("n_changed"), F.max("item_words").alias("item_words"),
         F.max("size").alias("size"), F.max("n_windows").alias("longest"), F.max("whole").alias("whole"),
     ).filter("whole").select(
-        "doc_id", "item_id", "n_windows", F.coalesce("n_changed", F.lit(0)).cast("bigint").alias("n_changed"),
+        "doc_id", "text_hash", "item_id", "n_windows", F.coalesce("n_changed", F.lit(0)).cast("bigint").alias("n_changed"),
         F.least(F.lit(1.0), (F.col("longest") + F.col("size") - 1) / F.col("item_words")).alias("coverage"),
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """Documents that match no item; rows without a key stay."""
-    found = store(contaminated(docs, benchmark, **options).select("doc_id").distinct(), "contaminated")
-    return docs.join(found, "doc_id", "left_anti")
+    """Documents that match no item. Rows are told apart by key and text, so a row without a key goes if it matches, and a clean one stays."""
+    found = store(contaminated(docs, benchmark, **options).select("doc_id", "text_hash").distinct(), "contaminated")
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    key, text = (plain.columns[docs.columns.index(options.get(c, d))] for c, d in (("key", "doc_id"), ("text", "text")))
+    same = F.col(key).cast("bigint").eqNullSafe(F.col("doc_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("text_hash"))
+    few = F.broadcast(found) if found.limit(MAX_SENT + 1).count() <= MAX_SENT else found
+    return plain.join(few, same, "left_anti").toDF(*docs.columns)
