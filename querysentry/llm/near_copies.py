@@ -22,6 +22,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from querysentry.llm import textbytes as T
@@ -30,7 +31,7 @@ from querysentry.llm.frames import doc_columns, map_steps, store
 
 BANDS, ROWS = 32, 4
 #: Sets and shingles of one side of a comparison inside one task, at most (but one set at least).
-MAX_SETS, MAX_SHINGLES = 1_024, 1 << 21
+MAX_SETS, MAX_SHINGLES = 512, 1 << 18
 #: Hashes of sets that are sent to executors, at most: 8 bytes each.
 MAX_SENT = 4_000_000
 #: Rows of the largest side that is broadcast, five numbers each.
@@ -134,15 +135,16 @@ def reached(ids: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple
     sizes = np.array([len(s) for s in sets], np.int64)
     starts = np.cumsum(sizes) - sizes
     words, places = np.unique(np.concatenate(sets), return_inverse=True)
+    places = places.astype(np.int32)
     left, found = np.ones(len(ids), bool), []
     for root in range(len(ids)):
         todo = [root] if left[root] else []
         left[root] = False
         while todo and left.any():
             at = todo.pop()
-            mark = np.zeros(len(words), np.int32)
-            mark[places[starts[at] : starts[at] + sizes[at]]] = 1
-            shared = np.add.reduceat(mark[places], starts)
+            mark = np.zeros(len(words), bool)
+            mark[places[starts[at] : starts[at] + sizes[at]]] = True
+            shared = np.add.reduceat(mark[places], starts, dtype=np.int32)
             hit = np.flatnonzero(left & (shared >= similarity * (sizes + sizes[at] - shared) - 1e-9))
             left[hit] = False
             found += [(ids[h], ids[root]) for h in hit]
@@ -180,16 +182,40 @@ def links(
 
 
 def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8, **bounds) -> DataFrame:
-    """One document of each class of linked sets: the one with the least doc_id, then the least text hash."""
+    """One document of each class of linked sets: the one with the least doc_id, then the least text hash.
+
+    All columns stay as they are, whatever their names. Which rows go is decided by their
+    keys and text hashes; texts are shuffled only where those are too many to be sent.
+    """
+    prints = store(_prints(docs, words), "copies-prints")
     name = F.struct(F.col("doc_id").isNull().alias("later"), "doc_id", "text_hash")
     distinct = store(
-        _prints(docs, words).groupBy("set_id").agg(F.min(name).alias("name"), F.first("n").alias("n"), F.first("bands").alias("bands")),
+        prints.groupBy("set_id").agg(F.min(name).alias("name"), F.first("n").alias("n"), F.first("bands").alias("bands")),
         "copies-distinct",
     )
     roots = connected_components(links(docs, distinct, words, similarity, **bounds))
     classes = distinct.select("set_id", "name").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
     kept = classes.groupBy(F.coalesce("root", "set_id").alias("root")).agg(F.min("name").alias("name"))
-    kept = kept.select(F.col("name.doc_id").alias("_kept"), F.col("name.text_hash").alias("_kept_text"))
-    named = docs.withColumn("_key", F.col("doc_id").cast("bigint")).withColumn("_text", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = F.col("_key").eqNullSafe(F.col("_kept")) & (F.col("_text") == F.col("_kept_text"))
-    return named.join(kept, same, "left_semi").dropDuplicates(["_key", "_text"]).drop("_key", "_text")
+    kept = kept.select(F.col("name.doc_id").alias("id"), F.col("name.text_hash").alias("hash"))
+    rows = prints.groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).agg(F.count(F.lit(1)).alias("rows"))
+    same = rows["id"].eqNullSafe(kept["id"]) & (rows["hash"] == kept["hash"])
+    gone = store(rows.join(kept, same, "left_anti").select("id", "hash"), "copies-gone")
+    repeated = store(rows.join(kept, same, "left_semi").filter("rows > 1").select("id", "hash"), "copies-repeated")
+
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    key, text = (plain.columns[docs.columns.index(c)] for c in ("doc_id", "text"))
+    plain = plain.withColumn("id", F.col(key).cast("bigint")).withColumn("hash", F.xxhash64(F.coalesce(text, F.lit(""))))
+
+    def without(side: DataFrame) -> DataFrame:
+        few = F.broadcast(side) if side.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else side
+        return few.select(F.col("id").alias("_id"), F.col("hash").alias("_hash"))
+
+    named = F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))
+    left = plain.join(without(gone), named, "left_anti")
+    if not repeated.isEmpty():
+        again = without(repeated)
+        # Rows of one key and text: the one whose other columns come first stays.
+        first = F.row_number().over(W.partitionBy("id", "hash").orderBy(F.to_json(F.struct(*plain.columns))))
+        one = left.join(again, named, "left_semi").withColumn("_place", first).filter("_place = 1").drop("_place")
+        left = left.join(again, named, "left_anti").unionByName(one)
+    return left.drop("id", "hash").toDF(*docs.columns)
