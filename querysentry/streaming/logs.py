@@ -34,8 +34,11 @@ def stream_trace_log(
 
 
 def stream_parquet(spark: SparkSession, folder: str, name: str, schema: T.StructType) -> DataFrame:
-    """The Parquet files of one table in a folder as a stream."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    """One table in a folder as a stream: a Parquet file, or a folder of them, of the table's name.
+
+    A pattern finds either; a plain path would have to be a folder.
+    """
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")
 
 
 def stream_features(stream: DataFrame, mode: str | None = None, lexical: bool = True) -> DataFrame:
