@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from querysentry.operators import autoencoder as AE
+from querysentry.operators import neighbours as NN
 from querysentry.operators import training as TR
 from querysentry.operators.fitting import fit_plans
 from querysentry.operators.vectors import unpack
@@ -72,3 +73,33 @@ def test_large_tables_train_by_shard(spark, monkeypatch):
     np.testing.assert_allclose(models["tanh"]["weights"], state[:k], atol=1e-9)
     np.testing.assert_allclose(again["weights"], state[:k], atol=1e-9)
     assert len(losses) == 10 and losses[-1] < losses[0] and models["relu"]["parameters"]["losses"][-1] < models["relu"]["parameters"]["losses"][0]
+
+
+@pytest.mark.parametrize("spread", [0.05, 3.0])
+def test_neighbours_over_many_chunks(spark, monkeypatch, spread):
+    """Exact with many small chunks and parts, with and without useful cells, repeated vectors included; a query is sent once to a chunk."""
+    monkeypatch.setattr(NN, "CHUNK_ROWS", 70)
+    monkeypatch.setattr(NN, "ROWS_AT_ONCE", 16)
+    monkeypatch.setattr(NN, "QUERIES_AT_ONCE", 32)
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.normal(size=(8, 3)), 50, axis=0) + rng.normal(size=(400, 3)) * spread
+    x[100:130] = x[99]
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "row_id long, features array<double>").repartition(5)
+    sent = []
+    group = type(df).groupBy
+
+    def spied(frame, *columns):
+        if columns == ("chunk", "split") and "cells" in frame.columns:
+            sent.append(group(frame, "row_id", "chunk").count().agg(F.max("count")).first()[0])
+        return group(frame, *columns)
+
+    monkeypatch.setattr(type(df), "groupBy", spied)
+    for own in (True, False):
+        got = NN.nearest_neighbours(df, df, 6, own, rows_per_block=20).orderBy("row_id", "rank").collect()
+        apart = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+        if own:
+            np.fill_diagonal(apart, np.inf)
+        order = np.stack([np.lexsort((np.arange(400), row)) for row in apart])[:, :6]
+        assert [r.neighbour for r in got] == order.ravel().tolist()
+        np.testing.assert_allclose([r.distance for r in got], np.take_along_axis(apart, order, 1).ravel(), atol=1e-12)
+    assert sent == [1, 1]
