@@ -13,7 +13,7 @@ from querysentry.operators import selection as S
 from querysentry.operators.lexical import lexical_subset
 from querysentry.operators.scoring import score_table
 from querysentry.operators.tree import semantic_projection
-from querysentry.session import shared_path
+from querysentry.session import shared_path, task_count
 from querysentry.sources import dimensions as D
 from querysentry.sources import sinks, tables
 from querysentry.streaming import logs, merging
@@ -497,7 +497,9 @@ def _runs(spark, sf_dir):
 def stream_trace_log(spark, sf_dir):
     """A folder of log files read as a stream; a second run finds nothing new."""
     source, out, checkpoint = (shared_path(spark, "stream", part) for part in ("log", "out", "checkpoint"))
-    invocations(spark, sf_dir).repartition(8).write.option("header", True).option("escape", '"').option(
+    log = invocations(spark, sf_dir)
+    # As many files as the rows need: one is read, and written, by a task.
+    log.repartition(max(8, task_count(log))).write.option("header", True).option("escape", '"').option(
         "ignoreTrailingWhiteSpace", False
     ).csv(source)
     for _ in range(2):

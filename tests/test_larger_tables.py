@@ -4,12 +4,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from querysentry import session
 from querysentry.operators import autoencoder as AE
 from querysentry.operators import neighbours as NN
 from querysentry.operators import training as TR
 from querysentry.operators.fitting import fit_plans
 from querysentry.operators.vectors import unpack
 from querysentry.streaming import logs
+from querysentry.workload import traces
 
 
 @pytest.mark.parametrize("files", [1, 3])
@@ -75,6 +77,23 @@ def test_large_tables_train_by_shard(spark, monkeypatch):
     assert len(losses) == 10 and losses[-1] < losses[0] and models["relu"]["parameters"]["losses"][-1] < models["relu"]["parameters"]["losses"][0]
 
 
+def test_tasks_go_with_the_rows(spark, tmp_path):
+    """A table of twice the rows gets twice the tasks once cores are busy; equal keys are one tree in whatever task."""
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(1_000).write.parquet(str(tmp_path / "few"))
+    few = spark.read.parquet(str(tmp_path / "few")).coalesce(1)
+    assert session.task_count(few) == cores and session.task_count(few, 10) == 100
+    spark.range(64).coalesce(1).write.parquet(str(tmp_path / "one"))
+    spread = session.spread_small_input(spark.read.parquet(str(tmp_path / "one")), "id", rows_per_task=2)
+    assert spread.rdd.getNumPartitions() == 32 and spread.count() == 64
+    items = [(o, 1 + o % 3, 10 + o % 2, 5, 1.0, "A", 2.0) for o in range(20)] * 2 + [(None, 1, 10, 5, 1.0, "A", 2.0)] * 2
+    spark.createDataFrame(
+        items, "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string, l_extendedprice double"
+    ).write.parquet(str(tmp_path / "lineitem.parquet"))
+    trees = traces._distinct_trees(spark, str(tmp_path)).collect()
+    assert len(trees) == 21 and all(t.semantic_tree.startswith(f"1:{t.part}::::|2:{t.supplier}:") for t in trees)
+
+
 @pytest.mark.parametrize("spread", [0.05, 3.0])
 def test_neighbours_over_many_chunks(spark, monkeypatch, spread):
     """Exact with many small chunks and parts, with and without useful cells, repeated vectors included; a query is sent once to a chunk."""
