@@ -1,7 +1,8 @@
 """Cleaning a corpus for training: five stages, each written as Parquet and read again.
 
 1. quality rules: failing lines go, then documents that fail or lose too much text
-2. near duplicates: one document of each class of texts that share 0.8 of their five-word shingles stays
+2. near duplicates: SimHash classes are compared exactly, and what minimum hashes add to them;
+   one document of each class of texts that share 0.8 of their five-word shingles stays
 3. benchmark decontamination: documents that match a benchmark item go
 4. personal data: every span is replaced by its kind
 5. packing: the documents' ids in windows of at most 4096 tokens
@@ -13,13 +14,16 @@ the operators' modules; empty tables pass as empty tables.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from querysentry.llm import decontaminate, line_rules, near_copies, packing, pii
+from querysentry.llm import decontaminate, line_rules, near_copies, packing, pii, simhash
 from querysentry.llm.frames import store, table
 from querysentry.llm.queries import model_path
 
 #: Words that a worker remembers in a stage: one executor's workers of several stages share its memory.
 WORDS = 150_000
+#: Fingerprints of one bucket that are compared inside one task; larger buckets are linked through points.
+MAX_BUCKET = 4_096
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +31,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_copies.keep_first(docs, words=5, similarity=0.8)
+    prints = simhash.near_duplicates(near_copies.text_hashes(docs), radius=4, words=4, key="text_hash", max_bucket=MAX_BUCKET)
+    classes = prints.select(F.col("doc_id").alias("text_hash"), F.col("component_id").alias("class"))
+    return near_copies.keep_first(docs, words=5, similarity=0.8, classes=classes)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

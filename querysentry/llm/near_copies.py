@@ -3,6 +3,7 @@
 A text is its set of shingles of lower-cased (A-Z) words. Two sets are linked if they share
 at least ``similarity`` of their union. ``BANDS`` bands of ``ROWS`` minimum hashes propose
 candidates: a pair at 0.8 shares no band with a chance of (1 - 0.8**4)**32, 5 in 10**8.
+Classes found by another method, such as SimHash, are candidates too: all of a class are compared.
 
 Work is done on distinct sets. Bands that hold the same sets count once. The sets of a band
 are compared in one task, exactly, and come back as links to one of each class, never as all
@@ -154,10 +155,14 @@ def reached(ids: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple
 
 
 def links(
-    docs: DataFrame, distinct: DataFrame, words: int = 5, similarity: float = 0.8, max_sets: int = MAX_SETS, max_shingles: int = MAX_SHINGLES
+    docs: DataFrame, distinct: DataFrame, words: int = 5, similarity: float = 0.8, max_sets: int = MAX_SETS, max_shingles: int = MAX_SHINGLES,
+    classes: DataFrame | None = None,
 ) -> DataFrame:
-    """Links (u, v) between the ids of similar sets."""
-    keys = distinct.filter("n > 0").select("set_id", "n", F.posexplode("bands").alias("t", "key"))
+    """Links (u, v) between the ids of similar sets; ``classes`` (set_id, class) proposes candidates beside the bands."""
+    full = distinct.filter("n > 0")
+    keys = full.select("set_id", "n", F.posexplode("bands").alias("t", "key"))
+    if classes is not None:
+        keys = keys.union(full.select("set_id", "n").join(classes, "set_id").select("set_id", "n", F.lit(BANDS), "class"))
     met = keys.groupBy("t", "key").agg(
         F.count(F.lit(1)).alias("sets"), F.sum("n").alias("size"), F.min("set_id").alias("low"), F.max("set_id").alias("high"),
         F.bit_xor(F.xxhash64("set_id")).alias("x"),
@@ -181,9 +186,16 @@ def links(
     return dealt.join(sets, "set_id").groupBy("t", "key", "i", "j").applyInPandas(compare, "u bigint, v bigint")
 
 
-def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8, **bounds) -> DataFrame:
+def text_hashes(docs: DataFrame) -> DataFrame:
+    """(text_hash, text): the name of a text that ``keep_first`` knows it by."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.xxhash64(text).alias("text_hash"), text.alias("text"))
+
+
+def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8, classes: DataFrame | None = None, **bounds) -> DataFrame:
     """One document of each class of linked sets: the one with the least doc_id, then the least text hash.
 
+    ``classes`` (text_hash, class) names texts to be compared, whether or not they share a band.
     All columns stay as they are, whatever their names. Which rows go is decided by their
     keys and text hashes; texts are shuffled only where those are too many to be sent.
     """
@@ -193,9 +205,12 @@ def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8, **bound
         prints.groupBy("set_id").agg(F.min(name).alias("name"), F.first("n").alias("n"), F.first("bands").alias("bands")),
         "copies-distinct",
     )
-    roots = connected_components(links(docs, distinct, words, similarity, **bounds))
-    classes = distinct.select("set_id", "name").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
-    kept = classes.groupBy(F.coalesce("root", "set_id").alias("root")).agg(F.min("name").alias("name"))
+    if classes is not None:
+        named = prints.select("text_hash", "set_id").distinct().join(classes.distinct(), "text_hash")
+        classes = store(named.select("set_id", "class").distinct(), "copies-classes")
+    roots = connected_components(links(docs, distinct, words, similarity, classes=classes, **bounds))
+    rooted = distinct.select("set_id", "name").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
+    kept = rooted.groupBy(F.coalesce("root", "set_id").alias("root")).agg(F.min("name").alias("name"))
     kept = kept.select(F.col("name.doc_id").alias("id"), F.col("name.text_hash").alias("hash"))
     rows = prints.groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).agg(F.count(F.lit(1)).alias("rows"))
     same = rows["id"].eqNullSafe(kept["id"]) & (rows["hash"] == kept["hash"])

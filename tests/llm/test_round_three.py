@@ -11,9 +11,11 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from querysentry.llm import jaccard_join, resampling, spelling
+from querysentry.llm import jaccard_join, near_copies, pretokens, resampling, simhash, spelling
 from querysentry.llm.ngram_table import PADDING, Spans, SpanTable
+from querysentry.llm.queries import model_path
 from querysentry.llm.sorted_groups import map_groups
 
 SCHEMA = "doc_id long, text string, word string, n long, score string, rank int, row long, u long, range string"
@@ -287,3 +289,38 @@ def test_prefixes_lose_no_pair():
             asked.append(matches)
             prefixes.append({k for _, k in order[:size]})
         assert len(prefixes[0] & prefixes[1]) >= min(asked)
+
+
+def test_classes_are_candidates(spark):
+    """Texts of one class are compared, though they share no band; unlike ones of a class both stay."""
+    words = [f"w{k}" for k in range(400)]
+    texts = [" ".join(words[:200]), " ".join(words[130:330]), "quite another text with words of its own"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert near_copies.keep_first(docs, similarity=0.15).count() == 3
+    classes = near_copies.text_hashes(docs).select("text_hash", F.lit(1).cast("bigint").alias("class"))
+    kept = near_copies.keep_first(docs, similarity=0.15, classes=classes)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2]
+
+
+def test_stage_takes_fingerprints(spark, monkeypatch):
+    """The pipeline's near duplicates are proposed by SimHash classes."""
+    import corpus_pipeline
+
+    made, given = [], []
+    near, keep = simhash.near_duplicates, near_copies.keep_first
+    monkeypatch.setattr(simhash, "near_duplicates", lambda *a, **k: made.append(near(*a, **k)) or made[-1])
+    monkeypatch.setattr(near_copies, "keep_first", lambda docs, classes=None, **k: given.append(classes) or keep(docs, classes=classes, **k))
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, text), (2, text + " more"), (None, None), (3, "")], "doc_id long, text string")
+    assert sorted(str(r.doc_id) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == ["1", "3"]
+    assert made and {tuple(r) for r in given[0].collect()} == {(r.doc_id, r.component_id) for r in made[0].collect()}
+
+
+@pytest.mark.parametrize("name, cut", [("byte_bpe_50k.json", "blank"), ("word_bpe_49k.json", "space")])
+def test_encoder_words_of_all_kinds(name, cut):
+    """Bare letters, letters with marks, lines and other words are the library's; what is remembered is no list."""
+    encoder = pretokens.WordEncoder(model_path(name), cut, memory=40)
+    texts = ["Abc abc Abc, abc.\nDef ghi", " x  y É é Éa é. ", "", "1a a1 a-b it's don't", " ".join(f"w{chr(97 + k)}q" for k in range(26))]
+    for _ in range(2):
+        assert [x.tolist() for x in encoder.encode(texts)] == [encoder.whole(t) for t in texts]
+    assert all(isinstance(x, tuple) for x in (*encoder.letters.values(), *encoder.marks.values(), encoder.newline))
