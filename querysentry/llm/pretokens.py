@@ -21,6 +21,7 @@ from __future__ import annotations
 import os
 import re
 from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ from querysentry.llm.frames import kept_in_process
 MEMORY = 600_000
 _PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-įı-ňŊ-ſ]+)([!-&(-/:;=-@[-`{-~]*)")
 _WHOLE = -2
+_ID = attrgetter("id")
 
 
 def _visible_bytes() -> dict[int, str]:
@@ -57,6 +59,7 @@ class WordEncoder:
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.memory = memory
         self.cut, self.alphabet, self.lower = cut, _visible_bytes(), cut == "space"
+        self.blank = self.alphabet[0x20]
         self.check()
 
     def whole(self, text: str) -> list[int]:
@@ -76,30 +79,35 @@ class WordEncoder:
         # Place 0 is no word at all: it has no ids.
         self.places[b""] = self.used = 0
         self.known = 1
-        self.marks: dict[str, list[int]] = {"": []}
-        self.letters: dict[str, list[int]] = {}
-        self.newline = self.whole("\n")
+        self.marks: dict[str, tuple[int, ...]] = {"": ()}
+        self.letters: dict[str, tuple[int, ...]] = {}
+        self.newline = tuple(self.whole("\n"))
 
-    def _ids_of_letters(self, letters: str) -> list[int]:
+    def _ids_of_letters(self, letters: str) -> tuple[int, ...]:
         """Ids of one pre-token of letters, from the model itself."""
         shown = letters.lower() if self.lower else letters
         if shown.isascii():
-            shown = shown.replace(" ", self.alphabet[0x20])
+            if shown[0] == " ":
+                shown = self.blank + shown[1:]
         else:
             shown = "".join(map(self.alphabet.__getitem__, shown.encode()))
         # Letters are remembered for words that differ in marks only.
         if len(self.letters) >= self.memory // 4:
             self.letters.clear()
-        found = self.letters[letters] = [t.id for t in self.model.tokenize(shown)]
+        # Tuples of numbers, unlike lists, are left alone by Python's garbage collector.
+        found = self.letters[letters] = tuple(map(_ID, self.model.tokenize(shown)))
         return found
 
-    def _ids_of(self, word: str) -> list[int]:
+    def _ids_of(self, word: str) -> tuple[int, ...]:
+        # Bare ASCII letters, most words, need no pattern.
+        if word.isascii() and (word[1:] if word[0] == " " else word).isalpha():
+            return self.letters.get(word) or self._ids_of_letters(word)
         found = _PLAIN.fullmatch(word)
         if found is None:
             lines = word.split("\n")
             if len(lines) > 1 and all(x and not x[0].isspace() and not x[-1].isspace() for x in (lines[0].removeprefix(" "), *lines[1:])):
-                return list(chain(self._ids_of(lines[0]), *(self.newline + self._ids_of(x) for x in lines[1:])))
-            return self.whole(word)
+                return tuple(chain(self._ids_of(lines[0]), *(self.newline + self._ids_of(x) for x in lines[1:])))
+            return tuple(self.whole(word))
         letters, mark = found.groups()
         ids = self.letters.get(letters)
         if ids is None:
@@ -107,7 +115,7 @@ class WordEncoder:
         if not mark:
             return ids
         if mark not in self.marks:
-            self.marks[mark] = self.whole(mark)
+            self.marks[mark] = tuple(self.whole(mark))
         return ids + self.marks[mark]
 
     def _learn(self, words: list[bytes]) -> None:
