@@ -10,6 +10,7 @@ from querysentry.operators import metrics as M
 from querysentry.operators import neighbours as NN
 from querysentry.operators import quantiles as Q
 from querysentry.operators import selection as S
+from querysentry.operators import tree
 from querysentry.session import GroupProfile
 
 
@@ -185,3 +186,40 @@ def test_running_totals_over_levels_of_buckets(spark, following):
         return [r for r in rows if "v=None" not in r]
 
     assert len(got) == 3000 and known(got) == known(plain)
+
+
+def test_kind_columns_by_place(spark):
+    """Columns of any rules are those of the sparse counts."""
+    rows = [{}, None, {832: 1}, {1844: 2}, {832: 3, 1844: 4, 1000: 5}, {1000: 1, 900: 2, 901: 7}]
+    df = spark.createDataFrame(list(enumerate(rows)), "id int, kind_counts map<int,int>")
+    for kinds in (None, [1000, 900], [901]):
+        wide = tree.widen_kinds(df, kinds)
+        assert wide.columns[:2] == df.columns and "try_element_at" not in wide._jdf.queryExecution().analyzed().toString()
+        for row in wide.collect():
+            assert all(row[f"kind_{k}"] == (rows[row.id] or {}).get(k, 0) for k in kinds or range(832, 1845))
+
+
+def test_many_symbols_sort_no_edges(spark, monkeypatch):
+    """Edges meet a symbol table that is too large to be sent by hash; names stay the same."""
+    text = "1:7::::|2:8::::|3:99::::|||-||1>2:3 2>3: "
+    df = spark.createDataFrame([(k, text) for k in range(40)], "row_id int, semantic_tree string")
+    kinds = spark.createDataFrame([(7, "a"), (8, "b"), (None, "none")], "kind int, name string")
+    sent = sorted(map(str, tree.named_edges(df, kinds, ["row_id"]).collect()))
+    monkeypatch.setattr(tree, "broadcast_if_small", lambda side: side)
+    made = tree.named_edges(df, kinds, ["row_id"])
+    assert "ShuffledHashJoin" in made._jdf.queryExecution().sparkPlan().toString()
+    assert sorted(map(str, made.collect())) == sent and len(sent) == 120
+
+
+def test_statements_of_all_sizes(spark, monkeypatch):
+    """Large statements, null ones too, are combined apart; the features stay the same and tasks go with the rows."""
+    text = "1:840::READ:TABLE:select a from t|2:8::::|||-||1>2: "
+    rows = [(None if k % 3 == 0 else k % 5, 1, 2, k % 2, text, 3) for k in range(60)]
+    log = spark.createDataFrame(rows, "stmt_id int, n_terminal long, n_nonterminal long, is_syntax_error int, semantic_tree string, depth long")
+    whole = sorted(map(str, tree.statement_features(log, "expert").collect()))
+    dealt = []
+    monkeypatch.setattr(tree, "task_count", lambda df: dealt.append(df) or 7)
+    assert sorted(map(str, tree.statement_features(log, "expert").collect())) == whole and dealt
+    assert tree._summed_features(log, "expert", "stmt_id", None).rdd.getNumPartitions() == 7
+    monkeypatch.setattr(tree, "SMALL_GROUP_ROWS", 10)
+    assert sorted(map(str, tree.statement_features(log, "expert").collect())) == whole
