@@ -11,16 +11,16 @@ put together by numpy. Two kinds of cuts are known:
 * ``space``: any ASCII white space. A tokenizer that drops white space and matches nothing
   across it sees the words one by one.
 
-A word of plain Latin letters is one pre-token and goes to the library's model directly, as
-does a run of marks after it; any other word goes through the whole library. ``check`` compares with whole-text encoding and
-raises if a tokenizer doesn't fit.
+A word of plain Latin letters is one pre-token and goes to the library's model directly; words
+with a run of marks after the same letters, or of several such lines, are put together by numpy from
+what is known. Any other word goes through the whole library. ``check`` compares with whole-text
+encoding and raises if a tokenizer doesn't fit.
 """
 
 from __future__ import annotations
 
 import os
-import re
-from itertools import chain
+from itertools import chain, repeat
 from operator import attrgetter
 
 import numpy as np
@@ -31,8 +31,8 @@ from querysentry.llm.frames import kept_in_process
 
 #: Words that one worker remembers: about 250 bytes each.
 MEMORY = 600_000
-_PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-įı-ňŊ-ſ]+)([!-&(-/:;=-@[-`{-~]*)")
-_WHOLE = -2
+_PLAIN = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-įı-ňŊ-ſ]+)(?P<marks>[!-&(-/:;=-@\[-`{-~]*)\z"
+_WHOLE, _NEW = -2, -1
 _ID = attrgetter("id")
 
 
@@ -73,91 +73,126 @@ class WordEncoder:
                 raise ValueError(f"This tokenizer does not cut texts by {self.cut!r}")
 
     def _start(self) -> None:
-        self.places: dict[bytes, int] = {}
+        #: Words by their places in the table of ids; those that begin a text bear no blank.
+        self.places: dict[str, int] = {}
+        self.heads: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, np.int32)
         self.starts = np.zeros(1 << 16, np.int64)
         # Place 0 is no word at all: it has no ids.
-        self.places[b""] = self.used = 0
+        self.heads[""] = self.used = 0
         self.known = 1
-        self.marks: dict[str, tuple[int, ...]] = {"": ()}
-        self.letters: dict[str, tuple[int, ...]] = {}
-        self.newline = tuple(self.whole("\n"))
-
-    def _ids_of_letters(self, letters: str) -> tuple[int, ...]:
-        """Ids of one pre-token of letters, from the model itself."""
-        shown = letters.lower() if self.lower else letters
-        if shown.isascii():
-            if shown[0] == " ":
-                shown = self.blank + shown[1:]
-        else:
-            shown = "".join(map(self.alphabet.__getitem__, shown.encode()))
-        # Letters are remembered for words that differ in marks only.
-        if len(self.letters) >= self.memory // 4:
-            self.letters.clear()
-        # Tuples of numbers, unlike lists, are left alone by Python's garbage collector.
-        found = self.letters[letters] = tuple(map(_ID, self.model.tokenize(shown)))
-        return found
-
-    def _ids_of(self, word: str) -> tuple[int, ...]:
-        # Bare ASCII letters, most words, need no pattern.
-        if word.isascii() and (word[1:] if word[0] == " " else word).isalpha():
-            return self.letters.get(word) or self._ids_of_letters(word)
-        found = _PLAIN.fullmatch(word)
-        if found is None:
+        newline = self.whole("\n")
+        self.marks: dict[str, int] = {"": 0, "\n": self._added(newline, [len(newline)])[0]}
+
+    def _added(self, ids, lengths) -> range:
+        """Places of new entries of the table, from the ids of all of them and the number of each."""
+        first, last = self.known, self.known + len(lengths)
+        ends = self.used + np.cumsum(np.asarray(lengths, np.int64))
+        self.ids = _grown(self.ids, self.used + len(ids))
+        self.starts = _grown(self.starts, last + 1)
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.starts[first + 1 : last + 1] = ends
+        self.known, self.used = last, self.used + len(ids)
+        return range(first, last)
+
+    def _gathered(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the entries at these places, one after another, and the number of each."""
+        begin = self.starts[at]
+        n = self.starts[at + 1] - begin
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.repeat(begin - ends + n, n) + np.arange(total)], n
+
+    def _learn_letters(self, letters: list[str], places: dict[str, int], blank: str) -> None:
+        """Pre-tokens of letters, from the model itself."""
+        ids, lengths, tokenize, alphabet = [], [], self.model.tokenize, self.alphabet.__getitem__
+        for word in letters:
+            made = tokenize(blank + (word if word.isascii() else "".join(map(alphabet, word.encode()))))
+            lengths.append(len(made))
+            ids.extend(map(_ID, made))
+        places.update(zip(letters, self._added(ids, lengths)))
+
+    def _learn_plain(self, words: list[str], letters: list[str], marks: list[str], places: dict[str, int], blank: str) -> None:
+        """Words of letters and then marks."""
+        if self.lower:
+            letters = "\n".join(letters).lower().split("\n")
+        self._learn_letters([word for word, own in zip(words, letters) if word == own], places, blank)
+        others = [k for k, (word, own) in enumerate(zip(words, letters)) if word != own]
+        if not others:
+            return
+        letters, marks = list(map(letters.__getitem__, others)), list(map(marks.__getitem__, others))
+        self._learn_letters(list(set(letters).difference(places)), places, blank)
+        for mark in set(marks).difference(self.marks):
+            made = self.whole(mark)
+            self.marks[mark] = self._added(made, [len(made)])[0]
+        pairs = np.array([list(map(places.__getitem__, letters)), list(map(self.marks.__getitem__, marks))], np.int64)
+        ids, n = self._gathered(pairs.T.ravel())
+        places.update(zip(map(words.__getitem__, others), self._added(ids, n.reshape(-1, 2).sum(1))))
+
+    def _learn_lines(self, words: list[list[str]], places: dict[str, int], blank: str) -> None:
+        """Words that hold newlines, each as its lines: a line after the first is a word without a blank."""
+        self._learn(list({lines[0] for lines in words}.difference(places)), places, blank)
+        self._learn(list({x for lines in words for x in lines[1:]}.difference(self.heads)), self.heads, "")
+        at, newline = [], self.marks["\n"]
+        for lines in words:
+            at.append(places[lines[0]])
+            for line in lines[1:]:
+                at += (newline, self.heads[line])
+        ids, n = self._gathered(np.array(at))
+        size = 2 * np.fromiter(map(len, words), np.int64, len(words)) - 1
+        lengths = np.add.reduceat(n, np.cumsum(size) - size)
+        places.update(zip(map("\n".join, words), self._added(ids, lengths)))
+
+    def _learn(self, words: list[str], places: dict[str, int], blank: str) -> None:
+        """Words that follow a blank, or none."""
+        if not words:
+            return
+        parts = pc.extract_regex(pa.array(words, pa.string()), _PLAIN)
+        plain, every = parts.is_valid().to_numpy(zero_copy_only=False), np.array(words, object)
+        if plain.any():
+            letters, marks = (parts.drop_null().field(k).to_numpy(zero_copy_only=False).tolist() for k in ("letters", "marks"))
+            self._learn_plain(every[plain].tolist(), letters, marks, places, blank)
+        odd, lists, of_lines = [], [], []
+        for word in every[~plain].tolist():
+            if self.cut == "blank" and (not word or word[0].isspace() or word[-1].isspace()):
+                places[word] = _WHOLE
+                continue
             lines = word.split("\n")
-            if len(lines) > 1 and all(x and not x[0].isspace() and not x[-1].isspace() for x in (lines[0].removeprefix(" "), *lines[1:])):
-                return tuple(chain(self._ids_of(lines[0]), *(self.newline + self._ids_of(x) for x in lines[1:])))
-            return tuple(self.whole(word))
-        letters, mark = found.groups()
-        ids = self.letters.get(letters)
-        if ids is None:
-            ids = self._ids_of_letters(letters)
-        if not mark:
-            return ids
-        if mark not in self.marks:
-            self.marks[mark] = tuple(self.whole(mark))
-        return ids + self.marks[mark]
-
-    def _learn(self, words: list[bytes]) -> None:
-        lists, places, known, blank = [], self.places, self.known, self.cut == "blank"
-        for raw in words:
-            word = raw.decode()
-            if blank and not word.isalpha():
-                bare = word.removeprefix(" ")
-                if not bare or bare[0].isspace() or bare[-1].isspace():
-                    places[raw] = _WHOLE
-                    continue
-            places[raw] = known + len(lists)
-            lists.append(self._ids_of(word))
-        if lists:
-            ends = self.used + np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))
-            self.ids = _grown(self.ids, int(ends[-1]))
-            self.starts = _grown(self.starts, self.known + len(lists) + 1)
-            self.ids[self.used : ends[-1]] = np.fromiter(chain.from_iterable(lists), np.int32, int(ends[-1]) - self.used)
-            self.starts[self.known + 1 : self.known + 1 + len(lists)] = ends
-            self.known, self.used = self.known + len(lists), int(ends[-1])
+            if len(lines) > 1 and all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
+                of_lines.append(lines)
+            else:
+                odd.append(word)
+                lists.append(self.whole(" " + word if blank else word))
+        places.update(zip(odd, self._added(list(chain.from_iterable(lists)), list(map(len, lists)))))
+        if of_lines:
+            self._learn_lines(of_lines, places, blank)
+
+    def _places_of(self, words: list[str], places: dict[str, int], blank: str) -> np.ndarray:
+        at = np.fromiter(map(places.get, words, repeat(_NEW)), np.int64, len(words))
+        new = np.flatnonzero(at == _NEW)
+        if len(new):
+            met = list(map(words.__getitem__, new.tolist()))
+            self._learn(list(set(met)), places, blank)
+            at[new] = np.fromiter(map(places.__getitem__, met), np.int64, len(met))
+        return at
 
     def _words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The place of every word of all texts, one after another, and the number of words of each text."""
-        parts = pc.split_pattern(texts.cast(pa.binary()), " ") if self.cut == "blank" else pc.ascii_split_whitespace(texts)
+        parts = pc.split_pattern(texts, " ") if self.cut == "blank" else pc.ascii_split_whitespace(texts)
         n = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
-        flat = parts.flatten().cast(pa.binary())
+        flat = parts.flatten()
         coded = flat.dictionary_encode()
-        words, heads = coded.dictionary.to_pylist(), []
+        # Arrow makes the strings of an array of objects at once.
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        at = self._places_of(words, self.places, self.blank if self.cut == "blank" else "")[coded.indices.to_numpy(zero_copy_only=False)]
         if self.cut == "blank":
-            words = [b" " + w for w in words]
             first = (np.cumsum(n) - n)[n > 0]
-            heads = flat.take(pa.array(first)).to_pylist()
-        self._learn(list(set(chain(words, heads)).difference(self.places)))
-        places = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
-        at = places[coded.indices.to_numpy(zero_copy_only=False)]
-        if heads:
-            at[first] = np.fromiter(map(self.places.__getitem__, heads), np.int64, len(heads))
+            at[first] = self._places_of(flat.take(pa.array(first)).to_numpy(zero_copy_only=False).tolist(), self.heads, "")
         return at, n
 
     def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
         """Ids of each text."""
-        if len(self.places) > self.memory:
+        if len(self.places) + len(self.heads) + len(self.marks) > self.memory:
             self._start()
         if not isinstance(texts, pa.Array):
             texts = pa.array(texts, pa.string())
@@ -166,10 +201,8 @@ class WordEncoder:
         at, words = self._words(texts)
         known = at != _WHOLE
         at = np.where(known, at, 0)
-        begin = self.starts[at]
-        n = self.starts[at + 1] - begin
+        ids, n = self._gathered(at)
         total = np.concatenate([[0], np.cumsum(n)])
-        ids = self.ids[np.repeat(begin - total[:-1], n) + np.arange(total[-1])]
         ends = np.cumsum(words)
         unknown = np.concatenate([[0], np.cumsum(~known)])
         spans = zip(total[ends - words].tolist(), total[ends].tolist(), (unknown[ends] > unknown[ends - words]).tolist())
