@@ -82,7 +82,24 @@ class WordEncoder:
         self.heads[""] = self.used = 0
         self.known = 1
         newline = self.whole("\n")
-        self.marks: dict[str, int] = {"": 0, "\n": self._added(newline, [len(newline)])[0]}
+        self.mark_places: dict[str, int] = {"": 0, "\n": self._added(newline, [len(newline)])[0]}
+
+    def _remembered(self, places: dict[str, int]) -> dict[str, tuple[int, ...]]:
+        return {word: tuple(self.ids[self.starts[k] : self.starts[k + 1]].tolist()) for word, k in places.items() if k != _WHOLE}
+
+    @property
+    def letters(self) -> dict[str, tuple[int, ...]]:
+        """Ids of the remembered words that are letters only, as they follow a blank."""
+        return self._remembered({word: k for word, k in self.places.items() if word.isalpha()})
+
+    @property
+    def marks(self) -> dict[str, tuple[int, ...]]:
+        """Ids of the remembered runs of marks."""
+        return self._remembered({mark: k for mark, k in self.mark_places.items() if mark != "\n"})
+
+    @property
+    def newline(self) -> tuple[int, ...]:
+        return self._remembered({"\n": self.mark_places["\n"]})["\n"]
 
     def _added(self, ids, lengths) -> range:
         """Places of new entries of the table, from the ids of all of them and the number of each."""
@@ -122,10 +139,10 @@ class WordEncoder:
             return
         letters, marks = list(map(letters.__getitem__, others)), list(map(marks.__getitem__, others))
         self._learn_letters(list(set(letters).difference(places)), places, blank)
-        for mark in set(marks).difference(self.marks):
+        for mark in set(marks).difference(self.mark_places):
             made = self.whole(mark)
-            self.marks[mark] = self._added(made, [len(made)])[0]
-        pairs = np.array([list(map(places.__getitem__, letters)), list(map(self.marks.__getitem__, marks))], np.int64)
+            self.mark_places[mark] = self._added(made, [len(made)])[0]
+        pairs = np.array([list(map(places.__getitem__, letters)), list(map(self.mark_places.__getitem__, marks))], np.int64)
         ids, n = self._gathered(pairs.T.ravel())
         places.update(zip(map(words.__getitem__, others), self._added(ids, n.reshape(-1, 2).sum(1))))
 
@@ -133,7 +150,7 @@ class WordEncoder:
         """Words that hold newlines, each as its lines: a line after the first is a word without a blank."""
         self._learn(list({lines[0] for lines in words}.difference(places)), places, blank)
         self._learn(list({x for lines in words for x in lines[1:]}.difference(self.heads)), self.heads, "")
-        at, newline = [], self.marks["\n"]
+        at, newline = [], self.mark_places["\n"]
         for lines in words:
             at.append(places[lines[0]])
             for line in lines[1:]:
@@ -192,7 +209,7 @@ class WordEncoder:
 
     def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
         """Ids of each text."""
-        if len(self.places) + len(self.heads) + len(self.marks) > self.memory:
+        if len(self.places) + len(self.heads) + len(self.mark_places) > self.memory:
             self._start()
         if not isinstance(texts, pa.Array):
             texts = pa.array(texts, pa.string())
