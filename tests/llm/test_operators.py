@@ -473,7 +473,7 @@ def test_registered_queries(spark, sf_dir):
     from querysentry.llm.queries import ORACLES, QUERIES
 
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n != "pipeline") == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n != "pipeline") == list(range(1, 14))
     con = oracle.duck(sf_dir)
     for name in QUERIES:
         _, rows, verdict = oracle.run(spark, con, name, QUERIES, ORACLES, sf_dir)
