@@ -27,21 +27,29 @@ def kept_in_process(key: tuple, make: Callable):
     """
     home = sys.modules.setdefault("_querysentry_kept", types.ModuleType("_querysentry_kept")).__dict__
     if key not in home:
-        for old in [k for k in home if isinstance(k, tuple) and "powers" not in (k[0], key[0])]:
-            del home[old]
-        home[key] = make()
+        if key[0] == "powers":
+            home[key] = make()
+        else:
+            forget_kept()
+            home[key] = make()
+            give_back()
     return home[key]
 
 
 def forget_kept() -> None:
-    """Let go of what earlier stages left in this process, number tables apart.
-
-    What is free then goes back to the machine: executors share a bounded memory with their
-    workers, busy and idle ones, which otherwise hold on to the largest size any stage needed.
-    """
+    """Let go of what earlier stages left in this process, number tables apart."""
     home = sys.modules.setdefault("_querysentry_kept", types.ModuleType("_querysentry_kept")).__dict__
     for old in [k for k in home if isinstance(k, tuple) and k[0] != "powers"]:
         del home[old]
+    give_back()
+
+
+def give_back() -> None:
+    """What is free in this process goes back to the machine.
+
+    Executors share a bounded memory with their workers, busy and idle ones, which
+    otherwise hold on to the largest size any stage needed.
+    """
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
@@ -70,7 +78,7 @@ def map_steps(df: DataFrame, columns: list, run: Callable, schema: str, limit: i
 
     Nulls in ``text`` are empty texts. Rows stay in their partitions, so nothing is
     shuffled and a lost task is simply run again. A stage that ``keeps`` nothing in its
-    process drops what an earlier one kept there.
+    process drops what an earlier one kept there; any gives back what is free when a task ends.
     """
 
     def each(batches):
@@ -81,9 +89,8 @@ def map_steps(df: DataFrame, columns: list, run: Callable, schema: str, limit: i
                 made = run(part)
                 if made is not None and made.num_rows:
                     yield made
-        if not keeps:
-            batch = part = made = None
-            forget_kept()
+        batch = part = made = None
+        (give_back if keeps else forget_kept)()
 
     return df.select(*columns).mapInArrow(each, schema)
 

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from querysentry.llm.frames import doc_columns, steps
+from querysentry.llm.frames import doc_columns, give_back, steps
 from querysentry.llm.pretokens import MEMORY, word_encoder
 
 CAPACITY = 4096
@@ -90,7 +90,9 @@ def windows_for(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray
 
 def _pieces(doc_id, ids: np.ndarray, capacity: int):
     for start in range(0, len(ids), capacity):
-        yield doc_id, start, ids[start : start + capacity], len(ids)
+        piece = ids[start : start + capacity]
+        # A rest waits for its deal: alone, without the ids of all its document.
+        yield doc_id, start, piece.copy() if start and len(piece) < capacity else piece, len(ids)
 
 
 def pack_documents(
@@ -133,7 +135,7 @@ def pack_documents(
             for part in steps(batch):
                 full = []
                 for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text"))):
-                    for piece in _pieces(doc_id, np.append(ids, end_id), capacity):
+                    for piece in _pieces(doc_id, np.append(ids, np.int32(end_id)), capacity):
                         (full if len(piece[2]) == capacity else rests).append(piece)
                 if full:
                     yield rows(full, range(first, first + len(full)), [0] * len(full))
@@ -142,7 +144,12 @@ def pack_documents(
                     kept, rests = rests[group:], rests[:group]
                     yield dealt()
                     rests = kept
+                # A step leaves much more free than it keeps, and two workers of an executor or more pack at a time.
+                full = None
+                give_back()
         if rests:
             yield dealt()
+        batch = part = rests = None
+        give_back()
 
     return docs.select(*doc_columns(text, key)).mapInArrow(run, PIECES)
